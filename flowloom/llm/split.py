@@ -102,32 +102,30 @@ def merged(sizes: list[int], grades: list[int], room: int) -> list[int]:
     return [i for i in range(n) if alive[i]]
 
 
-def _refined(text: str, words: list[str], costs: np.ndarray, encoding, most: int) -> tuple[list[str], np.ndarray]:
-    """Words of more than ``most`` tokens in parts of whole characters; anything else as it is."""
-    out, sizes = [], []
+def _refined(words: list[str], costs: np.ndarray, encoding, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of more than ``most`` tokens in parts of whole characters, anything else as it is; where a part is followed by one of the same word."""
+    out, sizes, inner = [], [], []
+    step = max(1, most // 4)  # a character is at most four bytes, each at most a token
     for w, c in zip(words, costs.tolist()):
-        if c <= most:
-            out.append(w)
-            sizes.append(c)
-            continue
-        step = max(1, most // 4)  # a character is at most four bytes, each at most a token
-        for i in range(0, len(w), step):
-            part = w[i : i + step]
-            out.append(part)
-            sizes.append(len(encoding.encode_ordinary(part)))
-    return out, np.array(sizes, np.int64)
+        parts = [w] if c <= most else [w[i : i + step] for i in range(0, len(w), step)]
+        out += parts
+        sizes += [c] if c <= most else [len(encoding._encode_single_piece(x)) for x in parts]
+        inner += [True] * (len(parts) - 1) + [False]
+    return out, np.array(sizes, np.int64), np.array(inner, bool)
 
 
 def pieces(text: str, words: list[str], costs: np.ndarray, encoding, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """(start, core_start, end, tokens) of each piece of one text, in characters; a piece overlaps its predecessor on [start, core_start)."""
-    room = limit - overlap
-    if int(costs.max(initial=0)) > min(room, max(overlap, 1)):
-        words, costs = _refined(text, words, costs, encoding, max(1, min(room, overlap) if overlap else room))
+    room, original = limit - overlap, (words, costs)
+    most = min(room, overlap) if overlap else room
+    inner = np.zeros(len(words), bool)
+    if refined := int(costs.max(initial=0)) > most:
+        words, costs, inner = _refined(words, costs, encoding, most)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
     costs = costs.copy()
     spaces = np.fromiter((not w.strip() for w in words), bool, len(words))
     fixed = np.ones(len(words), bool)  # a cut may come after this word
-    for i in np.flatnonzero(spaces[1:] & spaces[:-1]).tolist():  # white space in two words, the second of which would join the first
+    for i in np.flatnonzero(spaces[1:] & spaces[:-1] & ~inner[:-1]).tolist():  # white space in two words, the second of which would join the first
         joint = len(encoding._encode_single_piece(words[i] + words[i + 1]))
         costs[i + 1] = max(costs[i + 1], joint - costs[i])
         fixed[i] = False
@@ -153,7 +151,12 @@ def pieces(text: str, words: list[str], costs: np.ndarray, encoding, limit: int,
             first = max(first, last)
             while first < a and first and not fixed[first - 1]:
                 first += 1
-        out.append((int(begins[first]), int(begins[a]), int(begins[b]), int(upto[b] - upto[first])))
+        start, end, size = int(begins[first]), int(begins[b]), int(upto[b] - upto[first])
+        if refined:  # parts of a word may join into other tokens than they are alone
+            size = len(encoding.encode_ordinary(text[start:end]))
+            if size > limit and room > 8:
+                return pieces(text, *original, encoding, limit - room // 4, overlap)
+        out.append((start, int(begins[a]), end, size))
         last = first
     return out
 
@@ -184,8 +187,8 @@ def split(documents: DataFrame, key: str, text: str, vocabulary: Vocabulary, lim
     piece, a null one none.  Overlap is the most whole words of at most ``overlap`` tokens.
     Repeated keys are split each by itself.  Other columns are not looked at.
     """
-    if not 0 <= overlap * 2 <= limit or limit < 8:
-        raise ValueError("limit must be at least 8, and overlap at most half of it")
+    if not 0 <= overlap * 4 <= limit or limit < 32:
+        raise ValueError("limit must be at least 32, and overlap at most a quarter of it")
     words, hard = words_column(F.col(text))
     kind = documents.schema[key].dataType.simpleString()
     given = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), words.alias("words"), hard.alias("hard"))
