@@ -28,20 +28,25 @@ def saturating_end(start: Column, duration: Column) -> Column:
     return F.coalesce(F.try_add(start, length), F.lit(2**63 - 1))
 
 
-def session_interval(start: Column, end: Column, gap_ms: int) -> Column:
-    """The session window an event opens.
+def open_for(start: Column, end: Column, gap_ms: int) -> Column:
+    """How long the session window of an event is: to its end, and the gap.
 
     Spark merges windows that overlap or touch, so a start exactly ``gap_ms`` after the latest
     end still belongs to the session.  A window must not be empty: with a gap of 0 it is
     a microsecond long, which no whole millisecond falls into.
     """
-    low, high = (F.least(F.greatest(x, F.lit(-FAR_MS)), F.lit(FAR_MS)) for x in (start, end))
-    open_ms = high - low + F.lit(gap_ms)
-    days = F.call_function("div", open_ms, F.lit(86_400_000).cast("long")).cast("int")
-    seconds = ((open_ms % F.lit(86_400_000)).cast("decimal(18,6)") / F.lit(1000)).cast("decimal(18,6)")
+    ms = end - start + F.lit(gap_ms)
+    days = F.call_function("div", ms, F.lit(86_400_000).cast("long")).cast("int")
+    seconds = ((ms % F.lit(86_400_000)).cast("decimal(18,6)") / F.lit(1000)).cast("decimal(18,6)")
     if gap_ms == 0:
         seconds = seconds + F.lit(0.000001).cast("decimal(18,6)")
-    return F.session_window(F.timestamp_millis(low), F.make_interval(days=days, secs=seconds))
+    return F.make_interval(days=days, secs=seconds)
+
+
+def session_interval(start: Column, end: Column, gap_ms: int) -> Column:
+    """The session window an event opens, for starts and ends anywhere in bigint."""
+    low, high = (F.least(F.greatest(x, F.lit(-FAR_MS)), F.lit(FAR_MS)) for x in (start, end))
+    return F.session_window(F.timestamp_millis(low), open_for(low, high, gap_ms))
 
 
 def sessionize(
