@@ -42,7 +42,8 @@ def hot_keys(totals: DataFrame, keys: Sequence[str], hot_share: float) -> DataFr
     """
     whole = totals.agg(F.sum("n").alias("total"))  # one row
     named = totals.dropna(subset=list(keys))
-    return named.crossJoin(F.broadcast(whole)).where(F.col("n") >= F.lit(hot_share) * F.col("total"))
+    # a quotient, as it is rounded correctly: exactly the share is enough
+    return named.crossJoin(F.broadcast(whole)).where(F.col("n") / F.col("total") >= F.lit(hot_share))
 
 
 def select_ranks(rows: DataFrame, hot: DataFrame, keys: Sequence[str], measures: Sequence[str], quantile: float, bins: int = BINS) -> DataFrame:

@@ -153,7 +153,7 @@ def window_topn(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Thresholds low enough to find something in a small week.
 SYN = detect.SynFlood(top=10, min_flows=5, packets_per_flow=40, ratio=0.5)
-AMP = detect.Amplification(min_bpp=300, top=5, bps=1000, flows_per_second=0.001, sample=3, changes=10)
+AMP = detect.Amplification(port=0, min_bpp=50, top=5, bps=1, flows_per_second=0.0001, sample=2, changes=10)
 
 
 def detect_syn_flood(spark: SparkSession, sf: str) -> DataFrame:
