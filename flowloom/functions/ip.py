@@ -79,14 +79,18 @@ def words_text(hi: Column, lo: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _v6_text(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Halves must not be null: a series with nulls would come as floats and lose bits."""
     mask = 2**64 - 1
+    show = socket.inet_ntop
     for hi, lo in parts:
-        yield pd.Series([None if pd.isna(a) or pd.isna(b) else socket.inet_ntop(socket.AF_INET6, (((int(a) & mask) << 64) | (int(b) & mask)).to_bytes(16, "big")) for a, b in zip(hi, lo)])
+        yield pd.Series([show(socket.AF_INET6, (((a & mask) << 64) | (b & mask)).to_bytes(16, "big")) for a, b in zip(hi.tolist(), lo.tolist())], dtype=object)
 
 
 def text(hi: Column, lo: Column) -> Column:
     """The usual notation.  0.0.0.0 and 0.0.0.1 are taken for the IPv6 addresses :: and ::1, as C's test macro does."""
     ship(SparkSession.active())
     short = is_v4(hi, lo) & (lo > 1)
-    # the UDF sees nulls for IPv4, which cost it nothing
-    return F.when(short, v4_text(lo)).otherwise(_v6_text(F.when(~short, hi), F.when(~short, lo)))
+    zero = F.lit(0).cast("long")
+    long = F.coalesce(~short, F.lit(False))
+    v6 = _v6_text(F.when(long, F.coalesce(hi, zero)).otherwise(zero), F.when(long, F.coalesce(lo, zero)).otherwise(zero))
+    return F.when(hi.isNull() | lo.isNull(), None).when(short, v4_text(lo)).otherwise(v6)

@@ -169,3 +169,17 @@ def metadata_lines(rows: list, s: Style) -> Iterator[str]:
             yield f"\t{r.field}:"
             for title, v in (("total:", r.total), ("TCP:", r.tcp), ("UDP:", r.udp), ("ICMP:", r.icmp), ("other:", r.other)):
                 yield f"\t\t{title:<6} {show(v)}"
+
+
+#: The fields of a basic record, and how wide each is in aligned text: negative is left-aligned.
+BASIC = {"first": -27, "last": -27, "proto": -6, "srcip": 17, "srcport": -7, "dstip": 17, "dstport": -7, "bytes": 13, "packets": 13, "flows": 13}
+
+
+def basic_records(flows: DataFrame, s: Style) -> Iterator[str]:
+    """Every record as one text of ten fields: comma-separated, or aligned with addresses and ports joined by a colon."""
+    for r in flows.select(*[_shown(n, s).alias(n) for n in BASIC]).toLocalIterator():
+        cells = [_text(v, n, s) for v, n in zip(r, BASIC)]
+        if s.form == "csv":
+            yield ",".join(cells)
+        else:
+            yield "".join((c.ljust(-w) if w < 0 else c.rjust(w)) + (":" if n.endswith("ip") else "") for c, (n, w) in zip(cells, BASIC.items()))
