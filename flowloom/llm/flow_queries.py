@@ -36,9 +36,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """
     values = _values(spark, sf)
     candidates = stage(lossy.frequent(lossy.summaries(values, FIELDS, ERROR), SUPPORT), "frequent")
-    limit = F.lit(SUPPORT) * F.col("total")
-    sure = candidates.where(F.col("count_low") >= limit)
-    open_ones = candidates.where(F.col("count_low") < limit)
+    reaches = lambda c: F.col(c) / F.col("total") >= F.lit(SUPPORT)
+    sure, open_ones = candidates.where(reaches("count_low")), candidates.where(~reaches("count_low"))
     if not open_ones.head(1):
         return sure.select("field", "value_hi", "value_lo")
     value = lambda name, cs: F.struct(
@@ -46,7 +45,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     )
     each = values.select(F.explode(F.array(*[value(n, cs) for n, cs in FIELDS.items()])).alias("x")).select("x.*")
     counted = each.join(F.broadcast(open_ones), ["field", "value_hi", "value_lo"]).groupBy("field", "value_hi", "value_lo", "total").count()
-    return sure.select("field", "value_hi", "value_lo").unionByName(counted.where(F.col("count") >= limit).select("field", "value_hi", "value_lo"))
+    return sure.select("field", "value_hi", "value_lo").unionByName(counted.where(reaches("count")).select("field", "value_hi", "value_lo"))
 
 
 # ---- distinct counts

@@ -112,4 +112,5 @@ def frequent(parts: DataFrame, support: float) -> DataFrame:
     whole = merged.where("f is null").select("field", F.col("buckets").alias("all_buckets"), "total")
     entries = merged.where("f is not null").select("field", F.col("hi").alias("value_hi"), F.col("lo").alias("value_lo"), F.col("f").alias("count_low"), "spared")
     found = entries.join(F.broadcast(whole), "field").withColumn("count_high", F.col("count_low") + F.col("all_buckets") + F.col("spared"))
-    return found.where(F.col("count_high") >= F.lit(support) * F.col("total")).select("field", "value_hi", "value_lo", "count_low", "count_high", "total")
+    # a quotient, as it is rounded correctly: exactly the share is enough
+    return found.where(F.col("count_high") / F.col("total") >= F.lit(support)).select("field", "value_hi", "value_lo", "count_low", "count_high", "total")
