@@ -81,7 +81,7 @@ x as (select srcip_hi, srcip_lo, min(s) as session_start, max(e) as session_end,
 """
 _PAIR = ", ".join(PAIR)
 _PERIODS = f"""
-with f as (select {_PAIR}, first as s, first + greatest(coalesce(duration, 0), 0) as e from flow_records where {_SRC} and {_DST} and first is not null),
+with f as (select distinct {_PAIR}, first as s, first + greatest(coalesce(duration, 0), 0) as e from flow_records where {_SRC} and {_DST} and first is not null),
 r as (select *, max(e) over (partition by {_PAIR} order by s, e rows between unbounded preceding and 1 preceding) as reach from f),
 n as (select *, sum(case when reach is null or s > reach then 1 else 0 end) over (partition by {_PAIR} order by s, e rows unbounded preceding) as no from r)
 """
