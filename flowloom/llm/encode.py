@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.tokens import Vocabulary, batch_words, slices, words_column
+from flowloom.llm.tokens import Vocabulary, batch_words, slices, spread, words_column
 from flowloom.staging import stage
 
 #: Rows of (block, position, ids) put together before they go on, sorted by block.
@@ -81,7 +81,7 @@ def _blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
         .add("positions", T.BinaryType())
         .add("words", T.ArrayType(T.StringType()))
     )
-    return texts.select(F.col(key).alias("key"), words.alias("words"), hard.alias("hard")).mapInArrow(pack, schema)
+    return spread(texts.select(key, text), key).select(F.col(key).alias("key"), words.alias("words"), hard.alias("hard")).mapInArrow(pack, schema)
 
 
 def _encoded_words(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.tokens import Vocabulary, batch_words, slices, words_column
+from flowloom.llm.tokens import Vocabulary, batch_words, slices, spread, words_column
 
 LIMIT, OVERLAP = 4000, 100
 
@@ -191,7 +191,7 @@ def split(documents: DataFrame, key: str, text: str, vocabulary: Vocabulary, lim
         raise ValueError("limit must be at least 32, and overlap at most a quarter of it")
     words, hard = words_column(F.col(text))
     kind = documents.schema[key].dataType.simpleString()
-    given = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), words.alias("words"), hard.alias("hard"))
+    given = spread(documents.where(F.col(text).isNotNull()).select(key, text), key).select(F.col(key).alias("key"), words.alias("words"), hard.alias("hard"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = vocabulary.encoding()

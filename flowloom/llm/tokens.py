@@ -74,6 +74,12 @@ def split_by_python(text: str) -> Iterator[list[str]]:
         at = end
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows by key over all cores where the scan has fewer parts than there are cores, as with one small file; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def words_column(text: Column) -> tuple[Column, Column]:
     """(words, hard): the words by the JVM and null, or null and the text itself for Python to split."""
     hard = (F.length(text) > LONG_CHARS) | text.rlike(r"\p{Cn}")
@@ -111,7 +117,7 @@ def word_costs(words: pa.Array, encoding) -> np.ndarray:
 def count_tokens(rows: DataFrame, text: str, keep: list[str], vocabulary: Vocabulary) -> DataFrame:
     """keep and n_tokens; a null text has 0."""
     words, hard = words_column(F.col(text))
-    given = rows.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], words.alias("words"), hard.alias("hard"))
+    given = spread(rows.select(*dict.fromkeys([*keep, text])), keep[0]).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], words.alias("words"), hard.alias("hard"))
     kept = [rows.schema[c] for c in keep]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
