@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,13 +184,36 @@ def encode(texts: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> Dat
 def decode(encoded: DataFrame, key: str, ids: str, vocabulary: Vocabulary) -> DataFrame:
     """key and text, by joining each id with its piece of the vocabulary.
 
-    ``key`` must be unique.  Null and empty ids give an empty text.  Pieces are bytes; a text
-    is put together from all its bytes before it is read as UTF-8.  The vocabulary
-    has a fixed size (some ten thousand pieces) and goes to every task.
+    The vocabulary has a fixed size (some ten thousand pieces) and goes to every task, where the
+    join is by position: the ids of a batch pick their pieces from one array, and the bytes
+    picked for a text lie next to each other, so nothing is grouped or shuffled.  Null and empty ids give an
+    empty text, ids that the vocabulary lacks give nothing.  A text is put together from all its
+    bytes before it is read as UTF-8; what is no UTF-8 becomes replacement characters.
     """
-    spark = encoded.sparkSession
-    pieces = spark.createDataFrame([(i, piece.hex()) for piece, i in vocabulary.ranks().items()], "id int, piece string")
-    each = encoded.select(key, F.posexplode_outer(ids).alias("position", "id"))
-    joined = each.join(F.broadcast(pieces), "id", "left")
-    found = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("position", "piece")))).alias("x"))
-    return found.select(key, F.unhex(F.array_join(F.transform("x", lambda p: p["piece"]), "")).cast("string").alias("text"))
+    kind = encoded.schema[key].dataType
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary.ranks()
+        size = max(known.values()) + 1
+        by_id = [b""] * (size + 1)
+        for piece, i in known.items():
+            by_id[i] = piece
+        pieces = pa.array(by_id, pa.large_binary())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                counts = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = pc.fill_null(part.column(1).flatten(), -1).to_numpy(zero_copy_only=False)
+                picked = pieces.take(pa.array(np.where((flat < 0) | (flat >= size), size, flat)))
+                offsets = np.frombuffer(picked.buffers()[1], np.int64)[picked.offset : picked.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+                ends = offsets[np.r_[0, np.cumsum(counts)]]
+                data = picked.buffers()[2] or pa.py_buffer(b"") if len(flat) else pa.py_buffer(b"")
+                texts = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends.tobytes()), data])
+                try:
+                    texts = texts.cast(pa.large_string())
+                except pa.ArrowInvalid:
+                    texts = pa.array([x.as_py().decode(errors="replace") for x in texts], pa.large_string())
+                yield pa.RecordBatch.from_arrays([part.column(0), texts.cast(pa.string())], names=["key", "text"])
+
+    slim = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
+    return slim.mapInArrow(join, T.StructType().add("key", kind).add("text", T.StringType())).withColumnRenamed("key", key)

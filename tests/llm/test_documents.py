@@ -36,6 +36,14 @@ def test_ids_of_odd_texts_and_back(odd, vocabulary):
     assert encode(odd.limit(0), "doc_id", "text", vocabulary).count() == 0
 
 
+def test_decoding_of_foreign_ids(spark, vocabulary):
+    piece = {i: b for b, i in vocabulary.ranks().items()}
+    broken = next(i for i, b in piece.items() if b == b"\xe4")
+    df = spark.createDataFrame([(1, [64, -1, 50256, 10**6, 65]), (2, None), (3, [broken]), (3, [])], "doc_id bigint, ids array<int>")
+    got = sorted((x.doc_id, x.text) for x in decode(df, "doc_id", "ids", vocabulary).collect())
+    assert got == [(1, (piece[64] + piece[65]).decode()), (2, ""), (3, ""), (3, "\ufffd")]
+
+
 def test_ids_of_the_table_against_the_whole_tokenizer(spark, sf, vocabulary):
     whole = vocabulary.encoding()
     want = {x.doc_id: whole.encode_ordinary(x.text or "") for x in table(spark, sf, "documents").select("doc_id", "text").collect()}
