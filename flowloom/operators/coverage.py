@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from flowloom.operators.sessions import saturating_end
 from flowloom.sources.tables import floor_div
 
-DEFAULT_SHARD_MS = 6 * 3_600_000
+DEFAULT_SHARD_MS = 2 * 3_600_000
 MAX_SHARDS = 4096
 
 

@@ -19,7 +19,7 @@ from flowloom.sources.tables import floor_div
 #: Beyond these a timestamp in microseconds would overflow; starts and ends outside count as these for merging.
 FAR_MS = 9_000_000_000_000_000
 
-DEFAULT_SHARD_MS = 6 * 3_600_000
+DEFAULT_SHARD_MS = 3_600_000
 
 
 def saturating_end(start: Column, duration: Column) -> Column:
