@@ -40,10 +40,9 @@ def hot_keys(totals: DataFrame, keys: Sequence[str], hot_share: float) -> DataFr
 
     The share is of the sum over ``totals``, keys with nulls included.
     """
-    whole = totals.agg(F.sum("n").alias("total"))  # one row
-    named = totals.dropna(subset=list(keys))
+    whole = totals.agg(F.sum("n")).scalar()
     # a quotient, as it is rounded correctly: exactly the share is enough
-    return named.crossJoin(F.broadcast(whole)).where(F.col("n") / F.col("total") >= F.lit(hot_share))
+    return totals.dropna(subset=list(keys)).where(F.col("n") / whole >= F.lit(hot_share))
 
 
 def select_ranks(rows: DataFrame, hot: DataFrame, keys: Sequence[str], measures: Sequence[str], quantile: float, bins: int = BINS) -> DataFrame:
