@@ -145,7 +145,7 @@ def quantile(merged: DataFrame, groups: Sequence[str], q: float | Sequence[float
     n = F.sum("weight").over(Window.partitionBy(*groups))
     ranked = merged.select(*groups, "weight", "lo", "hi", n.alias("n"), F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
     qs = [q] if isinstance(q, float) else list(q)
-    asked = ranked.crossJoin(F.broadcast(merged.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, qs))).alias("q"))))
+    asked = ranked.withColumn("q", F.explode(F.array(*map(F.lit, qs))))
     rank = F.greatest(F.ceil(F.col("q") * F.col("n")), F.lit(1))
     far = F.least(F.ceil((F.col("q") + rank_error(delta)) * F.col("n")) + 1, F.col("n"))
     within = lambda r: (F.col("upto") >= r) & (F.col("upto") - F.col("weight") < r)
