@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators import balanced, coverage, sessions
 from flowloom.sources.tables import distinct_flows, flow_records, present
+from flowloom.staging import stage
 
 SESSION_GAP_MS = 1_800_000
 PAIR = ("srcip_hi", "srcip_lo", "dstip_hi", "dstip_lo")
@@ -40,7 +41,8 @@ def _by_key(spark: SparkSession, sf: str, *fields: str) -> DataFrame:
     here = present(*fields)
     halves = [f"{x}_{h}" for x in fields for h in ("hi", "lo")]
     rows = distinct_flows(flow_records(spark, sf), *halves, *MEASURES)
-    return rows.select(*[F.when(here, F.col(x)).alias(x) for x in halves], *MEASURES)
+    # read for totals, hot rows and the others: copies are removed once
+    return stage(rows.select(*[F.when(here, F.col(x)).alias(x) for x in halves], *MEASURES), "bykey")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
