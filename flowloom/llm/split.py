@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.tokens import Vocabulary, batch_words, slices, spread, words_column
+from flowloom.llm.tokens import Vocabulary, batch_words, distinct_costs, joined, slices, spread, words_column
 
 LIMIT, OVERLAP = 4000, 100
 
@@ -102,35 +102,47 @@ def merged(sizes: list[int], grades: list[int], room: int) -> list[int]:
     return [i for i in range(n) if alive[i]]
 
 
-def _refined(words: list[str], costs: np.ndarray, encoding, most: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _refined(text: str, lengths: np.ndarray, costs: np.ndarray, spaces: np.ndarray, encoding, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of more than ``most`` tokens in parts of whole characters, anything else as it is; where a part is followed by one of the same word."""
-    out, sizes, inner = [], [], []
     step = max(1, most // 4)  # a character is at most four bytes, each at most a token
-    for w, c in zip(words, costs.tolist()):
-        parts = [w] if c <= most else [w[i : i + step] for i in range(0, len(w), step)]
-        out += parts
-        sizes += [c] if c <= most else [len(encoding._encode_single_piece(x)) for x in parts]
-        inner += [True] * (len(parts) - 1) + [False]
-    return out, np.array(sizes, np.int64), np.array(inner, bool)
-
-
-def pieces(text: str, words: list[str], costs: np.ndarray, encoding, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
-    """(start, core_start, end, tokens) of each piece of one text, in characters; a piece overlaps its predecessor on [start, core_start)."""
-    room, original = limit - overlap, (words, costs)
+    starts = np.cumsum(lengths) - lengths
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    at = 0
+    for i in [*np.flatnonzero(costs > most).tolist(), len(costs)]:
+        own = slice(at, i)
+        for held, xs in zip(parts, (lengths[own], costs[own], spaces[own], np.zeros(i - at, bool))):
+            held.append(xs)
+        at = i + 1
+        if i < len(costs):
+            word = text[starts[i] : starts[i] + lengths[i]]
+            cut = [word[k : k + step] for k in range(0, len(word), step)]
+            inner = np.ones(len(cut), bool)
+            inner[-1] = False
+            sizes = [len(encoding._encode_single_piece(x)) for x in cut]
+            for held, xs in zip(parts, ([len(x) for x in cut], sizes, [bool(spaces[i])] * len(cut), inner)):
+                held.append(np.array(xs))
+    return tuple(np.concatenate(held) for held in parts)
+
+
+def pieces(text: str, lengths: np.ndarray, costs: np.ndarray, spaces: np.ndarray, encoding, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """(start, core_start, end, tokens) of each piece of one text, in characters; a piece overlaps its predecessor on [start, core_start).
+
+    lengths, costs, spaces: characters and tokens of the text's words, and whether each is white space.
+    """
+    room, original = limit - overlap, (lengths, costs, spaces)
     most = min(room, overlap) if overlap else room
-    inner = np.zeros(len(words), bool)
+    inner = np.zeros(len(lengths), bool)
     if refined := int(costs.max(initial=0)) > most:
-        words, costs, inner = _refined(words, costs, encoding, most)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        lengths, costs, spaces, inner = _refined(text, lengths, costs, spaces, encoding, most)
+    ends = np.cumsum(lengths)
     costs = costs.copy()
-    spaces = np.fromiter((not w.strip() for w in words), bool, len(words))
-    fixed = np.ones(len(words), bool)  # a cut may come after this word
+    fixed = np.ones(len(lengths), bool)  # a cut may come after this word
     for i in np.flatnonzero(spaces[1:] & spaces[:-1] & ~inner[:-1]).tolist():  # white space in two words, the second of which would join the first
-        joint = len(encoding._encode_single_piece(words[i] + words[i + 1]))
+        joint = len(encoding._encode_single_piece(text[ends[i] - lengths[i] : ends[i + 1]]))
         costs[i + 1] = max(costs[i + 1], joint - costs[i])
         fixed[i] = False
     # grades of the places after each word
-    grades = np.full(len(words), WORD, np.int64)
+    grades = np.full(len(lengths), WORD, np.int64)
     for offsets, of in (([m.end() for m in _SENTENCE.finditer(text)], None), line_places(text)):
         if len(offsets):
             spots = np.searchsorted(ends, offsets)
@@ -138,10 +150,10 @@ def pieces(text: str, words: list[str], costs: np.ndarray, encoding, limit: int,
     # segments: lines first; those that are too long by sentences, and by words where even these are
     upto = np.r_[0, np.cumsum(costs)]
     starts = _segments(grades, fixed, upto, room)
-    sizes = np.diff(upto[np.r_[starts, len(words)]])
+    sizes = np.diff(upto[np.r_[starts, len(lengths)]])
     kept = merged(sizes.tolist(), grades[starts[1:] - 1].tolist(), room)
     cores = starts[kept]
-    stops = np.r_[cores[1:], len(words)]
+    stops = np.r_[cores[1:], len(lengths)]
     begins = np.r_[0, ends]
     out, last = [], 0
     for k, (a, b) in enumerate(zip(cores.tolist(), stops.tolist())):
@@ -195,16 +207,19 @@ def split(documents: DataFrame, key: str, text: str, vocabulary: Vocabulary, lim
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = vocabulary.encoding()
-        one = encoding._encode_single_piece
         for batch in batches:
             for part in slices(batch):
                 flat, counts = batch_words(part)
                 coded = flat.dictionary_encode()
-                each = np.fromiter((len(one(w)) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-                costs = each[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+                distinct = coded.dictionary.to_pylist()
+                each = distinct_costs(distinct, encoding)
+                blank = np.fromiter((not w.strip() for w in distinct), bool, len(distinct))
+                codes = coded.indices.to_numpy() if len(flat) else np.zeros(0, np.int64)
+                costs, spaces = each[codes], blank[codes]
+                sizes = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
                 ends = np.r_[0, np.cumsum(counts)]
                 upto = np.r_[0, np.cumsum(costs)]
-                chars = np.r_[0, np.cumsum(pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64))]
+                chars = np.r_[0, np.cumsum(sizes)]
                 tokens, length = np.diff(upto[ends]), np.diff(chars[ends])
                 row, rest = [], []
                 for i in range(len(part)):
@@ -212,8 +227,8 @@ def split(documents: DataFrame, key: str, text: str, vocabulary: Vocabulary, lim
                         row.append(i)
                         rest.append((1, 1, 0, 0, int(length[i]), int(tokens[i])))
                         continue
-                    own = flat.slice(ends[i], counts[i]).to_pylist()
-                    found = pieces("".join(own), own, costs[ends[i] : ends[i + 1]], encoding, limit, overlap)
+                    own = slice(ends[i], ends[i + 1])
+                    found = pieces(joined(flat, ends[i], ends[i + 1]), sizes[own], costs[own], spaces[own], encoding, limit, overlap)
                     row += [i] * len(found)
                     rest += [(k + 1, len(found), a, c, b, t) for k, (a, c, b, t) in enumerate(found)]
                 names = ["piece", "pieces", "start", "core_start", "end", "n_tokens"]
@@ -224,7 +239,7 @@ def split(documents: DataFrame, key: str, text: str, vocabulary: Vocabulary, lim
                     texts = []
                     for i, r in zip(row, rest):
                         if i not in whole:
-                            whole = {i: "".join(flat.slice(ends[i], counts[i]).to_pylist())}
+                            whole = {i: joined(flat, ends[i], ends[i + 1])}
                         texts.append(whole[i][r[2] : r[4]])
                     columns.append(pa.array(texts, pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["key", *names, "doc_tokens", *["text"] * with_text])

@@ -34,6 +34,9 @@ LONG_CHARS = 1_000_000
 
 _LOADED: dict[str, object] = {}
 _PATTERN: list = []
+#: Numbers of ids by word, of one tokenizer, whose mark is at None.
+_COSTS: dict = {}
+REMEMBERED = 500_000
 
 
 class Vocabulary:
@@ -106,11 +109,28 @@ def batch_words(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays(parts), counts
 
 
+def joined(words: pa.Array, start: int, stop: int) -> str:
+    """Words start to stop of a string array without nulls, which lie next to each other, as one text."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset + start : words.offset + stop + 1]
+    return words.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes().decode() if stop > start else ""
+
+
+def distinct_costs(words: list[str], encoding) -> np.ndarray:
+    """The number of ids of each of the words, remembered within the process up to a bound."""
+    if len(_COSTS) > REMEMBERED:
+        _COSTS.clear()
+    one, known, mark = encoding._encode_single_piece, _COSTS.setdefault, encoding.name
+    if _COSTS.get(None) != mark:
+        _COSTS.clear()
+        _COSTS[None] = mark
+    get = _COSTS.get
+    return np.fromiter((get(w) or known(w, len(one(w))) for w in words), np.int64, len(words))
+
+
 def word_costs(words: pa.Array, encoding) -> np.ndarray:
-    """The number of ids of each word; every distinct word of the batch is encoded once."""
+    """The number of ids of each word; every distinct word of the batch is looked at once."""
     coded = words.dictionary_encode()
-    one = encoding._encode_single_piece
-    costs = np.fromiter((len(one(w)) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    costs = distinct_costs(coded.dictionary.to_pylist(), encoding)
     return costs[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
 
 
