@@ -174,20 +174,26 @@ def pieces(text: str, lengths: np.ndarray, costs: np.ndarray, spaces: np.ndarray
 
 
 def _segments(grades: np.ndarray, fixed: np.ndarray, upto: np.ndarray, room: int) -> np.ndarray:
-    """First words of the atomic segments, each of at most ``room`` tokens where words allow."""
-    cuts = np.flatnonzero((grades >= LINE) & fixed) + 1
+    """First words of the atomic segments, each of at most ``room`` tokens where words allow.
+
+    Segments are lines; of lines that are too long, sentences; of sentences that are too long, runs of
+    words of some 1/128 of a piece, as places between words are all alike.
+    """
     n = len(grades)
-    for least in (SENTENCE, WORD):
+    grain = max(1, room // 128)
+    run, large = upto // grain, np.diff(upto) > grain
+    steps = (run[1:] != run[:-1]) | large | np.r_[large[1:], False]
+    cuts = np.flatnonzero((grades >= LINE) & fixed) + 1
+    for finer in (grades >= SENTENCE, steps):
         starts = np.unique(np.r_[0, cuts[cuts < n]])
-        sizes = np.diff(upto[np.r_[starts, n]])
-        long = np.flatnonzero(sizes > room)
+        stops = np.r_[starts[1:], n]
+        long = np.flatnonzero(upto[stops] - upto[starts] > room)
         if not len(long):
             return starts
         inside = np.zeros(n, bool)
-        stops = np.r_[starts[1:], n]
         for i in long.tolist():
             inside[starts[i] : stops[i]] = True
-        cuts = np.r_[starts, np.flatnonzero((grades >= least) & fixed & inside) + 1]
+        cuts = np.r_[starts, np.flatnonzero(finer & fixed & inside) + 1]
     return np.unique(np.r_[0, cuts[cuts < n]])
 
 
