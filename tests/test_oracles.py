@@ -2,13 +2,10 @@ import pytest
 from oracle import both
 
 from flowloom.operators import queries as general
+from flowloom.plans import flow_queries
+from flowloom.streaming import queries as streams
 
-try:
-    from flowloom.plans import flow_queries
-except ImportError:
-    flow_queries = None
-
-MODULES = [m for m in (general, flow_queries) if m]
+MODULES = [general, flow_queries, streams]
 CASES = [(name, m) for m in MODULES for name in m.oracle_sql()]
 
 
