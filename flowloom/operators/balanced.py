@@ -8,7 +8,8 @@ do not combine like that.  For them, keys are told apart by their share of all r
   range known to hold the wanted value into ``bins`` equal parts and counts values per part;
   counts combine before the shuffle, so a round moves at most bins rows per key and task,
   and no task ever sees the values of a hot key.  A range shrinks by the factor ``bins`` a
-  round, so 64-bit values need at most six rounds of 4,096 bins, usually two or three.
+  round, so 64-bit values need at most four rounds of 65,536 bins, usually two; where there may be
+  more than a thousand hot keys, bins are 4,096 and rounds at most six.
 * all others have less than that share by definition and are sorted by key.
 
 Both ways are exact.
@@ -24,7 +25,12 @@ from pyspark.sql import functions as F
 
 from flowloom.staging import stage
 
-BINS = 4096
+FEW_KEYS, MANY_KEYS = 65_536, 4_096
+
+
+def bins_for(hot_share: float) -> int:
+    """Bins of a round, by how many keys may be hot."""
+    return FEW_KEYS if hot_share >= 1e-3 else MANY_KEYS
 
 
 def key_totals(rows: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -45,7 +51,7 @@ def hot_keys(totals: DataFrame, keys: Sequence[str], hot_share: float) -> DataFr
     return totals.dropna(subset=list(keys)).where(F.col("n") / whole >= F.lit(hot_share))
 
 
-def select_ranks(rows: DataFrame, hot: DataFrame, keys: Sequence[str], measures: Sequence[str], quantile: float, bins: int = BINS) -> DataFrame:
+def select_ranks(rows: DataFrame, hot: DataFrame, keys: Sequence[str], measures: Sequence[str], quantile: float, bins: int = MANY_KEYS) -> DataFrame:
     """keys and q_x per measure: the smallest value that at least ``quantile`` of the key's values do not exceed.
 
     ``hot`` comes from ``hot_keys`` (staged, so its size is known and bounded) with n_x,
@@ -97,7 +103,7 @@ def select_ranks(rows: DataFrame, hot: DataFrame, keys: Sequence[str], measures:
     return state.groupBy(*keys).agg(*wide)
 
 
-def hot_key_results(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], hot_share: float, quantile: float = 0.5, bins: int = BINS) -> DataFrame:
+def hot_key_results(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], hot_share: float, quantile: float = 0.5, bins: int | None = None) -> DataFrame:
     """keys, n, sum_x and q_x of the keys that hold at least ``hot_share`` of all rows.
 
     Rows with a null key count in the whole but are no result.  An empty table gives none.
@@ -106,18 +112,18 @@ def hot_key_results(rows: DataFrame, keys: Sequence[str], measures: Sequence[str
     slim = rows.select(*keys, *measures)
     hot = stage(hot_keys(key_totals(slim, keys, measures), keys, hot_share), "hot")
     own = stage(slim.join(F.broadcast(hot.select(*keys)), list(keys), "left_semi"), "hotrows")
-    ranks = select_ranks(own, hot, keys, measures, quantile, bins)
+    ranks = select_ranks(own, hot, keys, measures, quantile, bins or bins_for(hot_share))
     return hot.join(F.broadcast(ranks), list(keys), "left").select(*keys, "n", *[f"sum_{m}" for m in measures], *[f"q_{m}" for m in measures])
 
 
-def key_results(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], hot_share: float = 1e-4, quantile: float = 0.5, bins: int = BINS) -> DataFrame:
+def key_results(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], hot_share: float = 1e-4, quantile: float = 0.5, bins: int | None = None) -> DataFrame:
     """keys, n, sum_x and q_x of every key without nulls, hot or not; see the module."""
     slim = rows.select(*keys, *measures)
     totals = key_totals(slim, keys, measures)
     hot = stage(hot_keys(totals, keys, hot_share), "hot")
     names = F.broadcast(hot.select(*keys))
     own = stage(slim.join(names, list(keys), "left_semi"), "hotrows")
-    ranks = select_ranks(own, hot, keys, measures, quantile, bins)
+    ranks = select_ranks(own, hot, keys, measures, quantile, bins or bins_for(hot_share))
     hot_part = hot.join(F.broadcast(ranks), list(keys), "left")
     cold = slim.dropna(subset=list(keys)).join(names, list(keys), "left_anti")
     cold_part = cold.groupBy(*keys).agg(
