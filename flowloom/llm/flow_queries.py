@@ -55,31 +55,55 @@ def _with_day(spark: SparkSession, sf: str) -> DataFrame:
     return flow_records(spark, sf).withColumn("day", day())
 
 
-def _registers_by_field(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """Copies of a record change no register, so they need no removing."""
-    both = F.array(
-        F.struct(F.lit("dstip").alias("field"), F.when(present("dstip"), F.col("dstip_hi")).alias("a"), F.col("dstip_lo").alias("b")),
+def _registers_by_field(rows: DataFrame, groups: list[str], addresses: tuple[str, ...] = ("srcip", "dstip")) -> DataFrame:
+    """Registers of dstport and of the addresses named.  Copies of a record change no register, so they need no removing."""
+    values = F.array(
+        *[F.struct(F.lit(x).alias("field"), F.when(present(x), F.col(f"{x}_hi")).alias("a"), F.col(f"{x}_lo").alias("b")) for x in addresses],
         F.struct(F.lit("dstport").alias("field"), F.col("dstport").cast("long").alias("a"), F.lit(0).cast("long").alias("b")),
     )
-    each = rows.select(*groups, F.explode(both).alias("x")).select(*groups, "x.field", "x.a", "x.b")
+    each = rows.select(*groups, F.explode(values).alias("x")).select(*groups, "x.field", "x.a", "x.b")
     return registers.registers(each, [*groups, "field"], ["a", "b"])
 
 
+COMBINED = ["day", "exporter_id", "proto"]
+
+
+def _merged(sketches: DataFrame, always: list[str]) -> DataFrame:
+    """Estimates of ``always`` with each of the eight choices of COMBINED, by merging the registers of the finest groups.
+
+    ``level`` has the bits 16, 8 and 4 (of ``grouping_id``) for day, exporter_id and proto where they are merged
+    over; a null without its bit is the group of records that have none.
+    """
+    chosen = [[c for i, c in enumerate(COMBINED) if bits >> i & 1] for bits in range(2 ** len(COMBINED))]
+    last = [*always, "field", "register"]
+    sets = sketches.groupingSets([[*own, *last] for own in chosen], *COMBINED, *last).agg(F.max("rank").alias("rank"), F.grouping_id().alias("level"))
+    level = F.shiftright("level", len(always)).alias("level")
+    return registers.estimate(sets.select(*COMBINED, *last, "rank", level), [*COMBINED, *always, "field", "level"])
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _with_day(spark, sf).where(present("srcip") & F.col("day").isNotNull())
-    keys = ["day", *SRC, "field"]
-    counts = registers.estimate(_registers_by_field(rows, ["day", *SRC]), keys)
-    return counts.where("distinct_count >= 40").select(*keys)
+    return p4_per_srcip(spark, sf).where("day is not null and distinct_count >= 40").select("day", *SRC, "field")
+
+
+def p4_per_srcip(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct dstip and dstport per day and present srcip; records without a day are a group of each srcip.
+
+    A srcip has one srcip, so that field is left out.
+    """
+    keys = ["day", *SRC]
+    rows = _with_day(spark, sf).where(present("srcip"))
+    return registers.estimate(_registers_by_field(rows, keys, ("dstip",)), [*keys, "field"])
 
 
 def p4_combinations(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct values per day, exporter, protocol and combination: registers of the finest groups, merged for the coarser ones."""
-    sketches = _registers_by_field(_with_day(spark, sf), ["day", "exporter_id", "proto"])
-    sets = sketches.groupingSets(
-        [["day", "exporter_id", "proto", "field", "register"], ["day", "exporter_id", "field", "register"], ["day", "field", "register"], ["exporter_id", "field", "register"], ["proto", "field", "register"], ["field", "register"]],
-        "day", "exporter_id", "proto", "field", "register",
-    ).agg(F.max("rank").alias("rank"), F.grouping_id().alias("level"))
-    return registers.estimate(sets, ["day", "exporter_id", "proto", "field", "level"])
+    """Distinct srcip, dstip and dstport per day, exporter, protocol and every combination of them, down to all records."""
+    return _merged(_registers_by_field(_with_day(spark, sf), COMBINED), [])
+
+
+def p4_srcip_combinations(spark: SparkSession, sf: str) -> DataFrame:
+    """As p4_per_srcip, with srcip alone and with every combination of day, exporter and protocol."""
+    rows = _with_day(spark, sf).where(present("srcip"))
+    return _merged(_registers_by_field(rows, [*COMBINED, *SRC], ("dstip",)), SRC)
 
 
 # ---- percentiles
@@ -143,7 +167,7 @@ def p7_top10(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_frequent, p4_found, p4_combinations, p6_found, p6_percentiles, p6_weekly, p7_found, p7_top10)}
+    return {f.__name__: f for f in (p2_found, p2_frequent, p4_found, p4_per_srcip, p4_combinations, p4_srcip_combinations, p6_found, p6_percentiles, p6_weekly, p7_found, p7_top10)}
 
 
 _HERE = "({x}_hi is not null and {x}_lo is not null and ({x}_hi <> 0 or {x}_lo <> 0))"

@@ -1,7 +1,9 @@
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import pyarrow as pa
 import pytest
 from oracle import both
@@ -81,6 +83,43 @@ def test_ranks_are_leading_zeros_plus_one(spark):
         assert x.r == 64 - p - rest.bit_length() + 1
 
 
+def exact_counts(sf, always):
+    """Distinct values by grouping of day, exporter_id and proto, each with ``always``; groups without values have no row."""
+    here = lambda x: f"{x}_hi is not null and {x}_lo is not null and ({x}_hi <> 0 or {x}_lo <> 0)"
+    values = {x: (f"({x}_hi, {x}_lo)", here(x)) for x in ("srcip", "dstip")} | {"dstport": ("dstport", "dstport is not null")}
+    keys = ["day", "exporter_id", "proto"]
+    out = {}
+    for field, (value, where) in values.items():
+        for own in itertools.product([True, False], repeat=3):
+            columns = [*(k if used else f"null as {k}" for k, used in zip(keys, own)), *always]
+            rows = duckdb.sql(
+                f"select {', '.join(columns)}, count(distinct {value}) from (select *, cast(floor(first / 86400000) as bigint) as day from '{sf}/flow_records.parquet') "
+                f"where {where} {'and ' + here('srcip') if always else ''} group by all"
+            ).fetchall()
+            level = sum(0 if used else bit for used, bit in zip(own, (16, 8, 4)))
+            out |= {(*r[:-1], field, level): r[-1] for r in rows}
+    return out
+
+
+@pytest.mark.parametrize("name,always", [("p4_combinations", []), ("p4_srcip_combinations", ["srcip_hi", "srcip_lo"])])
+def test_every_combination_counts_what_it_has(spark, sf, name, always):
+    want = {k: n for k, n in exact_counts(sf, always).items() if not always or k[-2] != "srcip"}
+    rows = queries.queries()[name](spark, sf).collect()
+    got = {(x.day, x.exporter_id, x.proto, *[x[c] for c in always], x.field, x.level): x for x in rows}
+    assert len(got) == len(rows) and got.keys() == want.keys()
+    for k, x in got.items():
+        assert x.standard_error == registers.standard_error() and abs(x.distinct_count - want[k]) <= max(1, 4 * x.standard_error * want[k])
+
+
+def test_counts_per_day_and_srcip(spark, sf):
+    want = {k[:1] + k[3:-1]: n for k, n in exact_counts(sf, ["srcip_hi", "srcip_lo"]).items() if k[-1] == 12 and k[-2] != "srcip"}
+    rows = queries.queries()["p4_per_srcip"](spark, sf).collect()
+    got = {(x.day, x.srcip_hi, x.srcip_lo, x.field): x for x in rows}
+    assert len(got) == len(rows) and got.keys() == want.keys()
+    for k, x in got.items():
+        assert x.standard_error == registers.standard_error() and abs(x.distinct_count - want[k]) <= max(1, 4 * x.standard_error * want[k])
+
+
 # ---- digests
 
 
