@@ -142,9 +142,9 @@ BEGIN, END = 1709510400, 1710115200  # the week of the tables
 WIDE = 43_200
 
 
-def _windows(spark: SparkSession, sf: str) -> DataFrame:
+def _windows(spark: SparkSession, sf: str, size: int = WIDE) -> DataFrame:
     zero = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("first", "last", "bytes", "packets", "flows", "srcip_hi", "srcip_lo", "dstip_hi", "dstip_lo", "srcport", "dstport", "proto", "flags")]
-    return detect.in_windows(_flows(spark, sf).select(*zero), BEGIN, END, WIDE)
+    return detect.in_windows(_flows(spark, sf).select(*zero), BEGIN, END, size)
 
 
 def window_topn(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,6 +168,32 @@ def msg_size_stability(spark: SparkSession, sf: str) -> DataFrame:
     return detect.steady_sizes(_windows(spark, sf), detect.SRC, 20, 10)
 
 
+# The same over windows of ten minutes and with the operators' own thresholds; those above see half days.
+REAL_SYN, REAL_AMP = detect.SynFlood(), detect.Amplification()
+
+
+def _ten_minutes(spark: SparkSession, sf: str) -> DataFrame:
+    return _windows(spark, sf, detect.WINDOW_SECONDS)
+
+
+def window_topn_10min(spark: SparkSession, sf: str) -> DataFrame:
+    return detect.top_per_window(_ten_minutes(spark, sf), detect.DST, "flows", 5)
+
+
+def detect_syn_flood_10min(spark: SparkSession, sf: str) -> DataFrame:
+    return detect.syn_flood(_ten_minutes(spark, sf), REAL_SYN)
+
+
+def detect_amplification_10min(spark: SparkSession, sf: str) -> DataFrame:
+    return detect.amplification(_ten_minutes(spark, sf), REAL_AMP).select("window", *detect.DST, "reliability")
+
+
+def msg_size_stability_10min(spark: SparkSession, sf: str) -> DataFrame:
+    """Every window's pairs with messages from or to the port, as detect_amplification_10min looks at its suspects."""
+    messages = _ten_minutes(spark, sf).where(compile_filter(f"port {REAL_AMP.port}"))
+    return detect.steady_sizes(messages, ["window", *detect.SRC, *detect.DST], REAL_AMP.sample, REAL_AMP.changes)
+
+
 QUERIES = {
     "list_basic": _q(lambda q: q),
     "list_fields": _q(lambda q: q.select("srcip,duration,bps,pps,bpp,last,input,output")),
@@ -209,6 +235,10 @@ QUERIES = {
     "msg_size_stability": msg_size_stability,
     "detect_syn_flood": detect_syn_flood,
     "detect_amplification": detect_amplification,
+    "window_topn_10min": window_topn_10min,
+    "msg_size_stability_10min": msg_size_stability_10min,
+    "detect_syn_flood_10min": detect_syn_flood_10min,
+    "detect_amplification_10min": detect_amplification_10min,
 }
 
 
@@ -317,12 +347,15 @@ def oracle_sql() -> dict[str, str]:
         "msg_size_stability": _W
         + "select srcip_hi, srcip_lo, count(*) = 20 and coalesce(sum(cast(bytes <> before as integer)), 0) < 10 as steady from (select *, lag(bytes) over (partition by srcip_hi, srcip_lo order by no) as before "
         "from (select *, row_number() over (partition by srcip_hi, srcip_lo order by first, last, bytes, packets, srcport, dstport) as no from w) where no <= 20) group by 1, 2",
-        "detect_syn_flood": _W
-        + f"select s.\"window\", {', '.join('s.' + c for c in src + dst)}, s.flows, s.packets, syn_packets, ack_packets from ({_top(src + dst, 'flows', 'where proto = 6')}) s join "
-        f"(select \"window\", {pair}, cast(coalesce(sum(packets) filter (flags & 2 = 2 and flags & 17 = 0), 0) as bigint) as syn_packets, "
-        f"cast(coalesce(sum(packets) filter (flags & 18 = 18 and flags & 1 = 0), 0) as bigint) as ack_packets from w where proto = 6 group by all) c using (\"window\", {pair}) "
-        f"where rank <= {SYN.top} and flows >= {SYN.min_flows} and packets < {SYN.packets_per_flow} * flows and syn_packets > {SYN.ratio} * ack_packets",
-        "detect_amplification": _amplification(),
+        "detect_syn_flood": _syn_flood(_W, SYN),
+        "detect_amplification": _amplification(_W, AMP),
+        "window_topn_10min": _W10 + f"select * from ({_top(dst, 'flows')}) where rank <= 5",
+        "msg_size_stability_10min": _W10
+        + f"select \"window\", {pair}, count(*) = {REAL_AMP.sample} and coalesce(sum(cast(bytes <> before as integer)), 0) < {REAL_AMP.changes} as steady from "
+        f"(select *, lag(bytes) over (partition by \"window\", {pair} order by no) as before from (select *, row_number() over (partition by \"window\", {pair} "
+        f"order by first, last, bytes, packets, srcport, dstport) as no from w where srcport = {REAL_AMP.port} or dstport = {REAL_AMP.port}) where no <= {REAL_AMP.sample}) group by all",
+        "detect_syn_flood_10min": _syn_flood(_W10, REAL_SYN),
+        "detect_amplification_10min": _amplification(_W10, REAL_AMP),
     }
     return out
 
@@ -331,9 +364,13 @@ def _files(begin: int, end: int) -> str:
     return _F.replace("from flow_records)", f"from flow_records where file_id in (select file_id from flow_files where slot < {end} and slot + slot_seconds > {begin}))")
 
 
-_W = _F.rstrip() + (
-    f', w as (select *, least((first // 1000 - {BEGIN}) // {WIDE}, {(END - BEGIN) // WIDE - 1}) as "window" from f where first >= {BEGIN}000 and first < {END}000) '
-)
+def _week(size: int) -> str:
+    return _F.rstrip() + (
+        f', w as (select *, least((first // 1000 - {BEGIN}) // {size}, {(END - BEGIN) // size - 1}) as "window" from f where first >= {BEGIN}000 and first < {END}000) '
+    )
+
+
+_W, _W10 = _week(WIDE), _week(detect.WINDOW_SECONDS)
 
 
 def _top(keys: list[str], score: str, where: str = "") -> str:
@@ -344,21 +381,33 @@ def _top(keys: list[str], score: str, where: str = "") -> str:
     )
 
 
-def _amplification() -> str:
-    big = f"srcport = {AMP.port} and bytes // nullif(packets, 0) > {AMP.min_bpp} and packets > {AMP.min_packets} and packets < {AMP.max_packets}"
+def _syn_flood(week: str, p: detect.SynFlood) -> str:
+    pair = detect.SRC + detect.DST
+    keys = ", ".join(pair)
+    return (
+        week
+        + f"select s.\"window\", {', '.join('s.' + c for c in pair)}, s.flows, s.packets, syn_packets, ack_packets from ({_top(pair, 'flows', 'where proto = 6')}) s join "
+        f"(select \"window\", {keys}, cast(coalesce(sum(packets) filter (flags & 2 = 2 and flags & 17 = 0), 0) as bigint) as syn_packets, "
+        f"cast(coalesce(sum(packets) filter (flags & 18 = 18 and flags & 1 = 0), 0) as bigint) as ack_packets from w where proto = 6 group by all) c using (\"window\", {keys}) "
+        f"where rank <= {p.top} and flows >= {p.min_flows} and packets < {p.packets_per_flow} * flows and syn_packets > {p.ratio} * ack_packets"
+    )
+
+
+def _amplification(week: str, p: detect.Amplification) -> str:
+    big = f"srcport = {p.port} and bytes // nullif(packets, 0) > {p.min_bpp} and packets > {p.min_packets} and packets < {p.max_packets}"
     dst, src = "dstip_hi, dstip_lo", "srcip_hi, srcip_lo"
     return (
-        _W.rstrip()
-        + f", v as (select \"window\", {dst} from ({_top(['dstip_hi', 'dstip_lo'], 'flows', 'where ' + big)}) where rank <= {AMP.top} and "
-        f"(bytes * 8000.0 / nullif(last - first, 0) >= {AMP.bps} or flows * 1000 / (last - first + 0.2) >= {AMP.flows_per_second})), "
+        week.rstrip()
+        + f", v as (select \"window\", {dst} from ({_top(['dstip_hi', 'dstip_lo'], 'flows', 'where ' + big)}) where rank <= {p.top} and "
+        f"(bytes * 8000.0 / nullif(last - first, 0) >= {p.bps} or flows * 1000 / (last - first + 0.2) >= {p.flows_per_second})), "
         f's as (select "window", {dst}, {src}, row_number() over (partition by "window", {dst} order by packets desc, {src}) as rank from '
         f'(select "window", {dst}, {src}, sum(packets) as packets from w semi join v using ("window", {dst}) where {big} group by all)), '
-        f't as (select *, max(rank) over (partition by "window", {dst}) as lowest from s where rank <= {AMP.top}), '
+        f't as (select *, max(rank) over (partition by "window", {dst}) as lowest from s where rank <= {p.top}), '
         f"e as (select *, 50 * (cast(rank = 1 as integer) + cast(rank = lowest as integer)) as share from t where rank = 1 or rank = lowest), "
         f'm as (select *, row_number() over (partition by "window", {dst}, {src} order by first, last, bytes, packets, srcport, dstport) as no from w semi join e using ("window", {dst}, {src}) '
-        f"where srcport = {AMP.port} or dstport = {AMP.port}), "
-        f'n as (select *, lag(bytes) over (partition by "window", {dst}, {src} order by no) as before from m where no <= {AMP.sample}), '
-        f'k as (select "window", {dst}, {src} from n group by all having count(*) = {AMP.sample} and coalesce(sum(cast(bytes <> before as integer)), 0) < {AMP.changes}) '
+        f"where srcport = {p.port} or dstport = {p.port}), "
+        f'n as (select *, lag(bytes) over (partition by "window", {dst}, {src} order by no) as before from m where no <= {p.sample}), '
+        f'k as (select "window", {dst}, {src} from n group by all having count(*) = {p.sample} and coalesce(sum(cast(bytes <> before as integer)), 0) < {p.changes}) '
         f'select "window", {dst}, cast(sum(share) as bigint) as reliability from e semi join k using ("window", {dst}, {src}) group by all'
     )
 
