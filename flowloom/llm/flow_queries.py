@@ -114,9 +114,9 @@ MEASURES = ["bytes", "packets", "duration"]
 LIMITS = {"bytes": 5000, "packets": 60, "duration": 30000}
 
 
-def _measured(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per flow record; negative measures become null and count nothing."""
-    rows = distinct_flows(_with_day(spark, sf), *DIGEST_GROUPS, *MEASURES).where("day is not null and proto is not null")
+def _measured(spark: SparkSession, sf: str, where: str = "true") -> DataFrame:
+    """One row per flow record; negative measures become null and count nothing.  Records without day or proto are groups of their own."""
+    rows = distinct_flows(_with_day(spark, sf), *DIGEST_GROUPS, *MEASURES).where(where)
     return stage(rows.select(*DIGEST_GROUPS, *[F.when(F.col(m) >= 0, F.col(m)).alias(m) for m in MEASURES]), "measured")
 
 
@@ -125,7 +125,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
     The median is at least the limit exactly where fewer than half of the values lie below it.
     """
-    rows = _measured(spark, sf)
+    rows = _measured(spark, sf, "day is not null and proto is not null")
     own = [*DIGEST_GROUPS, "field"]
     limit = F.coalesce(*[F.when(F.col("field") == m, F.lit(x)) for m, x in LIMITS.items()])
     medians = digest.quantile(digest.merge(digest.digests(rows, DIGEST_GROUPS, MEASURES), own), own, 0.5)

@@ -168,6 +168,18 @@ def test_digests_stay_small_and_exact_for_few_values(spark):
     assert digest.quantile(digest.merge(digest.digests(none, ["g"], ["v"]), ["g", "field"]), ["g", "field"], 0.5).count() == 0
 
 
+def test_records_without_day_or_proto_are_groups(spark, tmp_path):
+    day_ms = 86_400_000
+    groups = {(None, 6): 7, (3, None): 5, (None, None): 3, (3, 6): 9}
+    rows = [(i * 100 + j, None if d is None else d * day_ms + j, 1, p, j, 1, 1) for i, ((d, p), n) in enumerate(groups.items()) for j in range(n)]
+    pdf = spark.createDataFrame(rows, "flow_id bigint, first bigint, exporter_id int, proto smallint, bytes bigint, packets bigint, duration bigint")
+    pdf.coalesce(1).write.parquet(str(tmp_path / "flow_records.parquet"))
+    found = queries.queries()["p6_percentiles"](spark, str(tmp_path)).where("field = 'bytes' and q = 0.5").collect()
+    assert {(x.day, x.proto): (x.n_exact, x.estimate) for x in found} == {k: (n, n // 2) for k, n in groups.items()}
+    weekly = queries.queries()["p6_weekly"](spark, str(tmp_path)).where("field = 'bytes'").collect()
+    assert {x.proto: x.n for x in weekly} == {6: 16, None: 8}
+
+
 # ---- top N
 
 
