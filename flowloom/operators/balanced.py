@@ -10,7 +10,7 @@ do not combine like that.  For them, keys are told apart by their share of all r
   and no task ever sees the values of a hot key.  A range shrinks by the factor ``bins`` a
   round, so 64-bit values need at most four rounds of 65,536 bins, usually two; where there may be
   more than a thousand hot keys, bins are 4,096 and rounds at most six.
-* all others have less than that share by definition and are sorted by key.
+* all others have less than that share by definition; the values of each are sorted in an array.
 
 Both ways are exact.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.staging import stage
@@ -116,6 +116,11 @@ def hot_key_results(rows: DataFrame, keys: Sequence[str], measures: Sequence[str
     return hot.join(F.broadcast(ranks), list(keys), "left").select(*keys, "n", *[f"sum_{m}" for m in measures], *[f"q_{m}" for m in measures])
 
 
+def _ranked(values: Column, quantile: float) -> Column:
+    """The value of the rank ``select_ranks`` takes, in a sorted array; percentile_disc would go through double and round above 2^53."""
+    return F.get(values, F.greatest(F.ceil(F.lit(quantile) * F.size(values)), F.lit(1)).cast("int") - 1)
+
+
 def key_results(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], hot_share: float = 1e-4, quantile: float = 0.5, bins: int | None = None) -> DataFrame:
     """keys, n, sum_x and q_x of every key without nulls, hot or not; see the module."""
     slim = rows.select(*keys, *measures)
@@ -129,7 +134,7 @@ def key_results(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], h
     cold_part = cold.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.try_sum(m).alias(f"sum_{m}") for m in measures],
-        *[F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY `{m}`)").cast("long").alias(f"q_{m}") for m in measures],
+        *[_ranked(F.sort_array(F.collect_list(F.col(m).cast("long"))), quantile).alias(f"q_{m}") for m in measures],
     )
     columns = [*keys, "n", *[f"sum_{m}" for m in measures], *[f"q_{m}" for m in measures]]
     return hot_part.select(*columns).unionByName(cold_part.select(*columns))

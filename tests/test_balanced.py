@@ -40,3 +40,10 @@ def test_empty_and_valueless(spark):
     assert key_results(df, ["k"], ["v"]).count() == hot_key_results(df, ["k"], ["v"], 0.01).count() == 0
     nothing = spark.createDataFrame([("a", None), ("a", None)], "k string, v bigint")
     assert [(x.n, x.sum_v, x.q_v) for x in hot_key_results(nothing, ["k"], ["v"], 0.5).collect()] == [(2, None, None)]
+
+
+def test_cold_keys_keep_every_bit(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([("a", big), ("b", big), ("b", big + 2), ("b", -big), ("c", None)], "k string, v bigint")
+    for share in (0.01, 1.0):
+        assert {x.k: x.q_v for x in key_results(df, ["k"], ["v"], share).collect()} == {"a": big, "b": big, "c": None}
