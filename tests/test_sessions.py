@@ -1,6 +1,8 @@
 import random
 
-from flowloom.operators.sessions import sessionize
+import pytest
+
+from flowloom.operators.sessions import advance, sessionize
 
 SCHEMA = "k string, id bigint, s bigint, d bigint, session_start string"
 
@@ -52,3 +54,46 @@ def test_extremes_and_empty_tables(spark):
     top = 2**63 - 1
     found = run(spark, [("a", 1, top, top), ("a", 2, 0, 1), ("a", 3, -(2**63), 3)], 10)
     assert [(s, e) for _, s, e, _, _ in found] == [(-(2**63), -(2**63) + 3), (0, 1), (top, top)]
+
+
+def test_far_starts_stay_apart(spark):
+    far = 10**17
+    rows = [("a", 1, far, 0), ("a", 2, 2 * far, 0), ("a", 3, 2 * far + 60_000, 0), ("a", 4, -(2**63), 0), ("a", 5, 2**63 - 1, 5)]
+    assert [(s, e, n) for _, s, e, _, n in run(spark, rows, 60_000)] == [(-(2**63), -(2**63), 1), (far, far, 1), (2 * far, 2 * far + 60_000, 2), (2**63 - 1, 2**63 - 1, 1)]
+
+
+def test_deliveries_with_late_events(spark):
+    keys, gap, lateness = ["k"], 10, 100
+    deliveries = [
+        [("a", 1, 0, 0), ("a", 2, 20, 0), ("b", 3, 150, 5)],
+        [("a", 4, 10, 0), ("a", 5, 49, 0), ("a", 6, 300, 0)],  # 10 is late: it bridges 0 and 20; 49 is early enough not to be lost
+        [("a", 7, 150, 0), ("a", 8, 205, 0), ("b", 9, 160, 1)],  # 150 and 160 lie before 200: too late
+    ]
+    state, before, top, out = None, None, None, []
+    for d in deliveries:
+        df = spark.createDataFrame([(*r, "x") for r in d], SCHEMA)
+        top = max([r[2] for r in d] + ([top] if top is not None else []))
+        closed, state = advance(state, df, keys, "s", "d", gap, before, top - lateness)
+        out += closed.collect()
+        state = spark.createDataFrame(state.collect(), state.schema)
+        before = top - lateness
+    out += advance(state, df.limit(0), keys, "s", "d", gap, before, None)[0].collect()
+    kept = [r for i, d in enumerate(deliveries) for r in d if i < 2 or r[2] >= 200]
+    assert sorted(map(tuple, out)) == expected(kept, gap)
+    assert ("a", 0, 20, 20, 3) in [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_deliveries_add_up_to_all_at_once(spark, seed):
+    r = random.Random(seed)
+    rows = [(r.choice("aab"), i, r.randrange(0, 3000), r.choice([None, 0, 8])) for i in range(300)]
+    rows.sort(key=lambda x: x[2] + r.randrange(0, 200))
+    state, before, out = None, None, []
+    for i in range(0, 300, 100):
+        df = spark.createDataFrame([(*x, "x") for x in rows[i : i + 100]], SCHEMA)
+        mark = max(x[2] for x in rows[: i + 100]) - 250
+        closed, state = advance(state, df, ["k"], "s", "d", 15, before, mark, shard_ms=64)
+        out, before = out + closed.collect(), mark
+        state = spark.createDataFrame(state.collect(), state.schema)
+    out += state.collect()
+    assert sorted(map(tuple, out)) == expected(rows, 15)
