@@ -1,15 +1,22 @@
 """Coverage of entities by intervals: merged periods, and the gaps between them.
 
-Two levels.  Intervals are clipped into shards of time and merged within (entity, shard),
-so an entity with a third of all intervals becomes many tasks.  As every shard then knows
-all that covers it, periods and gaps strictly inside a shard are final.  Only what touches
-a shard's edges goes on: one row per (entity, shard) for gaps, at most two for periods,
-however many intervals there were.
+Two levels.  Time is cut into shards of a fixed width.  An interval is clipped at the edge of
+the shard it starts in; what sticks out, its overhang, begins at that edge, so the
+overhangs of all intervals of one (entity, shard) cover what the longest of them covers, and
+one number says how far.  Pieces inside a shard are merged there, so an entity with a third of
+all intervals becomes many tasks; an interval never becomes more than its piece and its
+share in that number, however long it is.
+
+Then the coverage that touches or crosses edges is stitched: one row per (entity, shard), with
+the end reached so far, gives every shard how far the earlier ones reach into it.  That
+goes back to the pieces, which lie where they were: what starts beyond it begins a period,
+after a gap.  No step sees more of an entity in one place than one row per shard.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,38 +25,34 @@ from flowloom.operators.sessions import saturating_end
 from flowloom.sources.tables import floor_div
 
 DEFAULT_SHARD_MS = 2 * 3_600_000
-MAX_SHARDS = 4096
 
 
-def _clipped(intervals: DataFrame, keys: Sequence[str], start: str, duration: str, shard_ms: int) -> tuple[DataFrame, list[str], int]:
-    """Pieces (k0.., shard, s, e), one per shard an interval reaches.
+def _starts(intervals: DataFrame, keys: Sequence[str], start: str, duration: str, shard_ms: int, whole: bool) -> tuple[DataFrame, list[str]]:
+    """(k0.., shard, s, reach), the starts of all periods, and the names of k0..
 
-    Nothing starts after the latest start of the table, so no gap can follow it: an interval
-    is cut up to there and the last piece keeps the rest of its length.  An interval of years
-    therefore makes at most MAX_SHARDS pieces; shards grow where the table spans more time.
+    reach is the latest end before the start, null at an entity's first; with ``whole`` there
+    is also a column of that name, the latest end of the entity.
     """
     k = [f"k{i}" for i in range(len(keys))]
     rows = intervals.select(
         *[F.col(x).alias(a) for x, a in zip(keys, k)], F.col(start).cast("long").alias("s"), F.col(duration).cast("long").alias("d")
-    ).dropna(subset=[*k, "s"])
-    low, high = rows.agg(F.min("s"), F.max("s")).first()
-    if low is None:
-        low = high = 0
-    shard_ms = max(shard_ms, -(-(high - low) // MAX_SHARDS))
-    rows = rows.select(*k, "s", saturating_end(F.col("s"), F.col("d")).alias("e"))
-    rows = rows.select(
-        "*", floor_div(F.col("s"), shard_ms).alias("a"), floor_div(F.least(F.col("e"), F.lit(high).cast("long")), shard_ms).alias("b")
     )
-    rows = rows.withColumn("shard", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.sequence("a", "b"))))
-    left = F.when(F.col("shard") == F.col("a"), F.col("s")).otherwise(F.col("shard") * shard_ms)
-    right = F.when(F.col("shard") == F.col("b"), F.col("e")).otherwise((F.col("shard") + 1) * shard_ms)
-    return rows.select(*k, "shard", left.alias("s"), right.alias("e")), k, shard_ms
-
-
-def _with_reach(pieces: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Adds reach: the latest end among the earlier pieces of the same group, null at its first."""
-    w = Window.partitionBy(*by).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.withColumn("reach", F.max("e").over(w))
+    # as conditions of their own, which reach the scan and which both readers below know of
+    rows = rows.where(reduce(Column.__and__, [F.col(x).isNotNull() for x in (*k, "s")]))
+    rows = rows.select(*k, floor_div(F.col("s"), shard_ms).alias("shard"), "s", saturating_end(F.col("s"), F.col("d")).alias("e"))
+    # one shuffle, read twice: by the merge within shards and by the ends that shards reach; both
+    # ask for the same columns (hence ``opening``, which filters nothing), else it could not be reused
+    pieces = rows.repartition(*k, "shard")
+    within = Window.partitionBy(*k, "shard").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    local = pieces.withColumn("reach", F.max("e").over(within)).where("reach is null or s > reach").select(*k, "shard", "s", "reach")
+    ends = pieces.groupBy(*k, "shard").agg(F.max("e").alias("e"), F.min("s").alias("opening"))
+    along = Window.partitionBy(*k).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    stitched = ends.select(*k, "shard", "opening", F.max("e").over(along).alias("earlier"), *([F.max("e").over(Window.partitionBy(*k)).alias("whole")] if whole else []))
+    if not whole:
+        stitched = stitched.where("earlier is not null")  # nothing reaches into an entity's first shard
+    joined = local.join(stitched.hint("merge"), [*k, "shard"], "left").where("opening is null or s >= opening")
+    # greatest takes no notice of nulls
+    return joined.select(*k, "shard", "s", F.greatest("reach", "earlier").alias("reach"), *(["whole"] if whole else [])).where("reach is null or s > reach"), k
 
 
 def gaps(
@@ -64,49 +67,34 @@ def gaps(
     """keys, gap_start, gap_end: the silences between consecutive periods of each entity.
 
     Intervals [start, start + duration] are closed: touching ones leave no gap.  Rows with a
-    null key or start take no part, a null or negative duration is 0, repeated rows change
-    nothing, an empty table has no gaps, further columns are not looked at.
+    null key or start take no part, a null or negative duration is 0, ends past bigint are its
+    largest value, repeated rows change nothing, an empty table has no gaps, further columns are not
+    looked at.  Starts may lie anywhere in bigint.
     """
-    pieces, k, _ = _clipped(intervals, keys, start, duration, shard_ms)
+    starts, k = _starts(intervals, keys, start, duration, shard_ms, whole=False)
 
     def wanted(a: Column, b: Column) -> Column:
-        length = b - a
-        keep = length > longer_than_ms
-        return keep & (length <= at_most_ms) if at_most_ms is not None else keep
-
-    seen = _with_reach(pieces, [*k, "shard"])
-    inside = F.when((F.col("s") > F.col("reach")) & wanted(F.col("reach"), F.col("s")), F.struct(F.col("reach").alias("gap_start"), F.col("s").alias("gap_end")))
-    shards = seen.groupBy(*k, "shard").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.collect_list(inside).alias("inside"))
-    between = _with_reach_by_shard(shards, k)
-    edge = F.when(
-        (F.col("s") > F.col("reach")) & wanted(F.col("reach"), F.col("s")),
-        F.array(F.struct(F.col("reach").alias("gap_start"), F.col("s").alias("gap_end"))),
-    )
-    found = between.select(*k, F.explode(F.when(edge.isNull(), F.col("inside")).otherwise(F.concat(edge, F.col("inside")))).alias("g"))
-    return found.select(*[F.col(a).alias(x) for x, a in zip(keys, k)], "g.gap_start", "g.gap_end")
-
+        length = F.try_subtract(b, a)  # null where it is longer than bigint can say
+        keep = F.coalesce(length > longer_than_ms, F.lit(True))
+        return keep & F.coalesce(length <= at_most_ms, F.lit(False)) if at_most_ms is not None else keep
 
-def _with_reach_by_shard(shards: DataFrame, k: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*k).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.withColumn("reach", F.max("e").over(w))
+    found = starts.where(F.col("reach").isNotNull() & wanted(F.col("reach"), F.col("s")))
+    return found.select(*[F.col(a).alias(x) for x, a in zip(keys, k)], F.col("reach").alias("gap_start"), F.col("s").alias("gap_end"))
 
 
 def periods(intervals: DataFrame, keys: Sequence[str], start: str, duration: str, shard_ms: int = DEFAULT_SHARD_MS) -> DataFrame:
     """keys, period_start, period_end, period_duration: overlapping, nested and touching intervals as one.
 
+    A period ends where the next start's gap begins.  Within a shard the next start is at
+    hand; only the last period of each shard is stitched to the first start of a later one.
     Null keys and starts, durations, repeats, empty tables and further columns: as for ``gaps``.
     """
-    pieces, k, shard_ms = _clipped(intervals, keys, start, duration, shard_ms)
-    seen = _with_reach(pieces, [*k, "shard"])
-    ordered = Window.partitionBy(*k, "shard").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach")), 1).otherwise(0)
-    local = seen.withColumn("no", F.sum(opens).over(ordered)).groupBy(*k, "shard", "no").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    touches = (F.col("s") == F.col("shard") * shard_ms) | (F.col("e") >= (F.col("shard") + 1) * shard_ms)
-    final = local.where(~touches).select(*k, "s", "e")
-    open_ones = _with_reach(local.where(touches).select(*k, "s", "e"), k)
-    along = Window.partitionBy(*k).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
-    stitched = open_ones.withColumn("no", F.sum(opens).over(along)).groupBy(*k, "no").agg(F.min("s").alias("s"), F.max("e").alias("e")).select(*k, "s", "e")
-    return final.unionByName(stitched).select(
+    starts, k = _starts(intervals, keys, start, duration, shard_ms, whole=True)
+    within = Window.partitionBy(*k, "shard").orderBy("s")
+    seen = starts.select(*k, "shard", "s", "whole", F.lead("reach").over(within).alias("e"), F.first("reach").over(within).alias("before"))
+    last = F.col("e").isNull()
+    open_ones = seen.where(last).withColumn("e", F.coalesce(F.lead("before").over(Window.partitionBy(*k).orderBy("shard")), F.col("whole")))
+    return seen.where(~last).select(*k, "s", "e").unionByName(open_ones.select(*k, "s", "e")).select(
         *[F.col(a).alias(x) for x, a in zip(keys, k)],
         F.col("s").alias("period_start"),
         F.col("e").alias("period_end"),
