@@ -10,9 +10,11 @@ do not combine like that.  For them, keys are told apart by their share of all r
   and no task ever sees the values of a hot key.  A range shrinks by the factor ``bins`` a
   round, so 64-bit values need at most four rounds of 65,536 bins, usually two; where there may be
   more than a thousand hot keys, bins are 4,096 and rounds at most six.
-* all others have less than that share by definition; the values of each are sorted in an array.
+* all others have less than that share by definition: they meet in one place per key, where sorts
+  that may spill number the values of a measure, and the value of the rank wanted is kept.  No
+  buffer holds the values of a key.
 
-Both ways are exact.
+Both ways are exact over all of bigint.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.staging import stage
 
 FEW_KEYS, MANY_KEYS = 65_536, 4_096
+#: The least share a hot key may be asked to have, and so the most hot keys there are, 100,000: they are sent to every task.
+LEAST_SHARE = 1e-5
 
 
 def bins_for(hot_share: float) -> int:
@@ -46,6 +50,8 @@ def hot_keys(totals: DataFrame, keys: Sequence[str], hot_share: float) -> DataFr
 
     The share is of the sum over ``totals``, keys with nulls included.
     """
+    if not LEAST_SHARE <= hot_share <= 1:
+        raise ValueError(f"the share of a hot key must be from {LEAST_SHARE} to 1")
     whole = totals.agg(F.sum("n")).scalar()
     # a quotient, as it is rounded correctly: exactly the share is enough
     return totals.dropna(subset=list(keys)).where(F.col("n") / whole >= F.lit(hot_share))
@@ -68,10 +74,9 @@ def select_ranks(rows: DataFrame, hot: DataFrame, keys: Sequence[str], measures:
     ).alias("x")
     state = hot.select(*keys, slots).select(*keys, "x.*").where("n > 0")
     state = stage(state.select(*keys, "m", "lo", "hi", F.greatest(F.ceil(F.lit(quantile) * F.col("n")), F.lit(1)).cast("long").alias("rank")), "ranks")
-    long_rows = rows.select(
-        *[F.col(x).alias(f"_{x}") for x in keys],
-        F.explode(F.array(*[F.struct(F.lit(i).alias("_m"), F.col(m).cast("long").alias("v")) for i, m in enumerate(measures)])).alias("x"),
-    ).select(*[f"_{x}" for x in keys], "x.*").where("v is not null")
+    slim = rows.select(*[F.col(x).alias(f"_{x}") for x in keys], *[F.col(m).cast("long").alias(f"_v{i}") for i, m in enumerate(measures)])
+    values = F.array(*[F.struct(F.lit(i).alias("_m"), F.col(f"_v{i}").alias("v")) for i in range(len(measures))])
+    long_rows = slim.select(*[f"_{x}" for x in keys], F.explode(values).alias("x")).select(*[f"_{x}" for x in keys], "x.*").where("v is not null")
     # decimal arithmetic: a range may be wider than bigint
     width = "greatest(ceil((cast(hi as decimal(38,0)) - cast(lo as decimal(38,0)) + 1) / {b}), 1)"
     for _ in range(math.ceil(64 / math.log2(bins)) + 1):
@@ -116,9 +121,24 @@ def hot_key_results(rows: DataFrame, keys: Sequence[str], measures: Sequence[str
     return hot.join(F.broadcast(ranks), list(keys), "left").select(*keys, "n", *[f"sum_{m}" for m in measures], *[f"q_{m}" for m in measures])
 
 
-def _ranked(values: Column, quantile: float) -> Column:
-    """The value of the rank ``select_ranks`` takes, in a sorted array; percentile_disc would go through double and round above 2^53."""
-    return F.get(values, F.greatest(F.ceil(F.lit(quantile) * F.size(values)), F.lit(1)).cast("int") - 1)
+def _ranked(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], quantile: float) -> DataFrame:
+    """keys, n, sum_x and q_x of every key: one shuffle by key, then a sort per measure that numbers its values.
+
+    All windows share the partitioning by key.  A rank is compared with the number of values
+    of the measure, which nulls, sorted last, are not part of.
+    """
+    out = rows.repartition(*keys)
+    whole = Window.partitionBy(*keys)
+    for i, m in enumerate(measures):
+        out = out.withColumn(f"_c{i}", F.count(m).over(whole))
+    for i, m in enumerate(measures):
+        out = out.withColumn(f"_r{i}", F.row_number().over(whole.orderBy(F.col(m).asc_nulls_last())))
+    rank = lambda i: F.greatest(F.ceil(F.lit(quantile) * F.col(f"_c{i}")), F.lit(1))
+    return out.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.try_sum(m).alias(f"sum_{m}") for m in measures],
+        *[F.max(F.when(F.col(f"_r{i}") == rank(i), F.col(m).cast("long"))).alias(f"q_{m}") for i, m in enumerate(measures)],
+    )
 
 
 def key_results(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], hot_share: float = 1e-4, quantile: float = 0.5, bins: int | None = None) -> DataFrame:
@@ -130,11 +150,6 @@ def key_results(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], h
     own = stage(slim.join(names, list(keys), "left_semi"), "hotrows")
     ranks = select_ranks(own, hot, keys, measures, quantile, bins or bins_for(hot_share))
     hot_part = hot.join(F.broadcast(ranks), list(keys), "left")
-    cold = slim.dropna(subset=list(keys)).join(names, list(keys), "left_anti")
-    cold_part = cold.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.try_sum(m).alias(f"sum_{m}") for m in measures],
-        *[_ranked(F.sort_array(F.collect_list(F.col(m).cast("long"))), quantile).alias(f"q_{m}") for m in measures],
-    )
+    cold_part = _ranked(slim.dropna(subset=list(keys)).join(names, list(keys), "left_anti"), keys, measures, quantile)
     columns = [*keys, "n", *[f"sum_{m}" for m in measures], *[f"q_{m}" for m in measures]]
     return hot_part.select(*columns).unionByName(cold_part.select(*columns))

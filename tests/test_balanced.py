@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from flowloom.operators.balanced import hot_key_results, key_results
 
 
@@ -47,3 +49,15 @@ def test_cold_keys_keep_every_bit(spark):
     df = spark.createDataFrame([("a", big), ("b", big), ("b", big + 2), ("b", -big), ("c", None)], "k string, v bigint")
     for share in (0.01, 1.0):
         assert {x.k: x.q_v for x in key_results(df, ["k"], ["v"], share).collect()} == {"a": big, "b": big, "c": None}
+
+
+def test_no_buffer_holds_the_values_of_a_key(spark, tmp_path):
+    spark.range(100).selectExpr("id % 7 as k", "id as v", "-id as w").write.parquet(str(tmp_path / "x"))
+    plan = key_results(spark.read.parquet(str(tmp_path / "x")), ["k"], ["v", "w"], 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "percentile" not in plan and "row_number" in plan
+
+
+def test_shares_out_of_range(spark):
+    for share in (0, 1e-6, 1.5):
+        with pytest.raises(ValueError):
+            hot_key_results(spark.createDataFrame([("a", 1)], "k string, v bigint"), ["k"], ["v"], share)
