@@ -12,6 +12,7 @@ from __future__ import annotations
 import operator
 import re
 from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column
@@ -200,7 +201,8 @@ class Parser:
 
     def one(self) -> Node:
         if self.take("not", "!"):
-            if self.take("flags", "tcpflags"):  # directly negated flags: none of them
+            if self.peek() in ("flags", "tcpflags") and self.peek(1) not in ("isset", "isnset"):  # directly negated flags: none of them
+                self.next()
                 return Bits("flags", self.flags(), none=True)
             return Not(self.one())
         if self.take("("):
@@ -248,23 +250,27 @@ class Parser:
             except ValueError as e:
                 raise FilterError(str(e)) from None
         if word in ("flags", "tcpflags"):
-            return Bits("flags", self.flags())
+            return Bits("flags", none=self.take("isset", "isnset") == "isnset", mask=self.flags())
         if word == "exists":
             name = self.next().lower()
             self.known(name)
             return Group(True, tuple(Exists(c) for c in FIELDS[name].columns)) if FIELDS[name].kind != "calc" else Always()
         if word in ("in", "out") and self.take("if"):
-            return Compare({"in": "input", "out": "output"}[word], self.operator(), self.number())
+            name, op = {"in": "input", "out": "output"}[word], self.operator()
+            return Among(name, self.listed(self.as_number)) if op == "in" else Compare(name, op, self.number())
         self.known(word)
         field = FIELDS[word]
         if field.kind == "addr":
             raise FilterError(f"'{word}' needs an address in filter: {self.text!r}")
         op = self.operator()
+        parse = self.as_moment if field.kind == "time" else self.as_number
         if field.kind == "calc":
+            if op == "in":
+                raise FilterError(f"'{word}' cannot be listed in filter: {self.text!r}")
             return Calculated(word, op, self.number())
         if op == "in":
-            return Among(word, self.listed(self.as_number))
-        return Compare(word, op, self.number())
+            return Among(word, self.listed(parse))
+        return Compare(word, op, parse(self.next()))
 
     def known(self, word: str) -> None:
         if word not in FIELDS:
@@ -288,11 +294,23 @@ class Parser:
         value *= SUFFIX.get(m[2], 1)
         return int(value) if value == int(value) else value
 
+    def as_moment(self, text: str) -> int | float:
+        """Milliseconds, or a UTC date with or without a time: 2024-03-06, 2024-03-06T10:15, 2024-03-06T10:15:30.250."""
+        if not re.match(r"\d{4}-", text):
+            return self.as_number(text)
+        try:
+            moment = datetime.fromisoformat(text)
+        except ValueError:
+            raise FilterError(f"'{text}' is no time in filter: {self.text!r}") from None
+        whole = moment.replace(tzinfo=moment.tzinfo or timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)
+        return whole // timedelta(milliseconds=1)
+
     def number(self) -> int | float:
         return self.as_number(self.next())
 
     def flags(self) -> int:
-        self.take("=", "==")
+        if (op := self.operator()) != "=":
+            raise FilterError(f"'{op}' does not compare flags in filter: {self.text!r}")
         text = self.next()
         try:
             return int(text) if text.isdigit() else flags_number(text)
@@ -323,16 +341,23 @@ class Parser:
         return lambda side: Compare(f"{side}port", op, n)
 
     def address(self):
-        if self.operator() == "in":
-            texts = self.listed(str)
-        else:
-            texts = (self.next(),)
+        """Equal, unequal or in a list; addresses have no order here, so ``<`` and the like raise."""
+        op = self.operator()
+        if op not in ("=", "!=", "in"):
+            raise FilterError(f"'{op}' does not compare addresses in filter: {self.text!r}")
+        texts = self.listed(str) if op == "in" else (self.next(),)
         try:
             for t in texts:
                 ip.parse(t)
         except ValueError as e:
             raise FilterError(str(e)) from None
-        return lambda side: address_in(f"{side}ip", texts[0]) if len(texts) == 1 else Group(False, tuple(address_in(f"{side}ip", t) for t in texts))
+
+        def make(side: str) -> Node:
+            found = tuple(address_in(f"{side}ip", t) for t in texts)
+            node = found[0] if len(found) == 1 else Group(False, found)
+            return Not(node) if op == "!=" else node
+
+        return make
 
 
 def parse(text: str) -> Node:

@@ -15,7 +15,7 @@ from flowloom.plans.query import FlowQuery
 from flowloom.sources import timespec
 from flowloom.sources.tables import flow_records, table
 
-#: Filters of every construct, with their SQL over the zeroed records below.
+#: Filters of every construct, with their SQL over the zeroed records below; S and D are ranges of IPv4 addresses.
 CORPUS = {
     "src ip 10.77.56.49": "S(172832817,172832817)",
     "not src ip 10.77.56.49": "not S(172832817,172832817)",
@@ -50,6 +50,15 @@ CORPUS = {
     "inet6 and pps >= 2": "not (srcip_hi = 0 and srcip_lo between 0 and 4294967295) and coalesce(packets * 1000.0 / nullif(last - first, 0) >= 2, false)",
     "not (in if 3 or out if 4) and first >= 1709596800000": "input <> 3 and output <> 4 and first >= 1709596800000",
     "any": "true",
+    "src ip != 10.77.56.49": "not S(172832817,172832817)",
+    "dst net != 172.16.0.0/12 and proto != TCP": "not D(2886729728,2887778303) and proto <> 6",
+    "not (dst ip != fd7b:992d:5ecf:36::e874)": "dstip_hi = -181382939835170762 and dstip_lo = 59508",
+    "src ip in [10.77.56.49, fd04:a840::/32 172.16.0.0/12]": "S(172832817,172832817) or srcip_hi between -214861889169981440 and -214861884875014145 or S(2886729728,2887778303)",
+    "not src and dst ip != 10.77.56.49": "S(172832817,172832817) or D(172832817,172832817)",
+    "flags isset SA and flags isnset F": "flags & 18 = 18 and flags & 1 = 0",
+    "not flags isset SA": "flags & 18 <> 18",
+    "first >= 2024-03-06T12:30 and last < 2024-03-07": "first >= 1709728200000 and last < 1709769600000",
+    "in if in [3 0] or port != 443": "input in (3, 0) or srcport <> 443 or dstport <> 443",
 }
 
 

@@ -5,32 +5,35 @@ from pyspark.sql import functions as F
 
 from flowloom.plans.filterlang import FilterError, compile_filter, parse
 
-CORPUS = """src ip 192.168.2.15
+# Filters that the language has to take as they are.
+GIVEN = """src ip 192.168.2.15
 not src ip 192.168.2.15
 src net 192.168.0.0/16
-src ip 192.168.0.0/16
-ip 192.168.2.15
 src and dst net 192.168.0.0/16
-src and dst ip 192.168.0.0/16
-ip 192.168.0.15 and src port gt 1024
-ip 192.168.0.15 or src port gt 1024 or dst port gt 1024
 ip 192.168.0.15 and not (src port gt 1024 and dst port gt 1024)
-ip 192.168.0.15 or src port gt 1024 or dst port 80 or proto 17
-ip 192.168.0.15 or src port lt 1024 or dst port 80 or proto 6 or flags 4
 packets gt 10 and packets lt 31 and bytes gt 1400 and bytes lt 5000 and flags 18 and duration lt 5
-ip 192.168.0.15 or (src port lt 1024 or dst port lt 1024) or proto 6 or flags 3 or bytes lt 25k
-src or dst net 192.168.20.0/24 or src port lt 1024 or dst port 80 or proto 6 or flags 4 or bytes lt 25k or bpp lt 400
 src and dst ip 192.168.20.0/24 and src port lt 1024 and dst port 80 and proto 6 and flags 4 and bytes lt 25k and bpp lt 400
-ip 192.168.0.15 or src port lt 1024 or dst port in [80 443, 8080] or proto 6 or flags 4 or bytes lt 25k or bpp lt 400
 port 23
 dst ip fd52:4efb:6b9d:c7d7::2
 proto UDP and port >100
-srcport 53 and proto UDP
-net 147.229.0.0/16
-proto TCP && (flags S && not (flags AF)) || !(bpp > 1200)
-ip in [10.0.0.1 fd00::/8] or host 10/8
-exists srcip and in if 3 or out if = 4
-inet6 or ipv4 and any""".splitlines()
+net 147.229.0.0/16""".splitlines()
+
+CORPUS = [
+    *GIVEN,
+    "srcport 53 and proto UDP",
+    "proto TCP && (flags S && not (flags AF)) || !(bpp > 1200)",
+    "ip in [10.0.0.1 fd00::/8] or host 10/8",
+    "exists srcip and in if 3 or out if = 4",
+    "inet6 or ipv4 and any",
+    "src ip != 192.168.0.7 or dst net <> fd00::/62",
+    "ip != 10.0.0.1 and not net != 192.168.0.0/16",
+    "src or dst ip != 192.168.8.8 and dst port in [443 0]",
+    "flags isset SA or not flags isnset F",
+    "first > 1970-01-01T00:03:20.5 and last <= 1970-01-01T00:15",
+    "packets >= 5 && packets != 15 || bytes in [0, 5]",
+    "pps > 10 or not bps <= 1.5k",
+    "not (in if in [3] or out if != 4)",
+]
 
 COLUMNS = ["first", "last", "bytes", "packets", "flows", "srcip_hi", "srcip_lo", "dstip_hi", "dstip_lo", "srcport", "dstport", "proto", "flags", "input", "output"]
 
@@ -71,10 +74,17 @@ def test_meaning(flows):
     assert count("duration >= 5") == zero.where("last - first >= 5").count()
     assert count("not dst port in [80 443]") == zero.where("dstport not in (80, 443)").count()
     assert count("proto icmp or proto in [udp 47]") == zero.where("proto in (1, 17, 47)").count()
+    unequal = zero.where("not (srcip_hi = 0 and srcip_lo = 167772161)").count()
+    assert count("src ip != 10.0.0.1") == count("not src ip 10.0.0.1") == unequal < flows.count()
+    assert count("src net != 192.168.0.0/20") == flows.count() - count("src net 192.168.0.0/20")
+    assert count("ip != 10.0.0.1") == flows.count() - count("src and dst ip 10.0.0.1")  # either side differs
+    assert count("src and dst ip != 10.0.0.1") == flows.count() - count("ip 10.0.0.1")
+    assert count("first >= 1970-01-01T00:05") == zero.where("first >= 300000").count() > 0
+    assert count("flags isnset AF") == count("not flags AF") and count("not flags isset AF") == count("not (flags AF)")
     assert count("not port 0") == zero.where("srcport <> 0 and dstport <> 0").count()
 
 
-@pytest.mark.parametrize("text", ["ip", "ip 1.2.3", "src port", "port in []", "port in [80", "proto nosuch", "flags Q", "bytes >", "(proto 6", "proto 6)", "proto 6 proto 7", "and", "nosuch 5", "src bytes 5", "bytes lt 5x", "port 80 ; 81", "src ip 1.2.3.4/33", "srcip"])
+@pytest.mark.parametrize("text", ["ip", "ip 1.2.3", "src port", "port in []", "port in [80", "proto nosuch", "flags Q", "bytes >", "(proto 6", "proto 6)", "proto 6 proto 7", "and", "nosuch 5", "src bytes 5", "bytes lt 5x", "port 80 ; 81", "src ip 1.2.3.4/33", "srcip", "src ip > 10.0.0.1", "ip <= 10.0.0.1", "dst net lt 10/8", "flags > 2", "bps in [5]", "first > 2024-13-01", "src ip !="])
 def test_errors(text):
     with pytest.raises(FilterError):
         parse(text)
