@@ -12,7 +12,8 @@ Any value dropped still had a true count of at most the number of buckets.
 
 Summaries of tasks merge by adding up: for a value that a task has no entry for, that task
 adds its number of buckets to the undercount.  Counts are thus guaranteed to lie between
-``count_low`` and ``count_high``, which differ by at most error * rows plus one per task.
+``count_low`` and ``count_high``, which differ by at most error * rows: undercounts are at most the
+buckets a task has completed, whose rows add up to no more than all rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.staging import ship
+from flowloom.staging import ship, stage
 
 STEP_ROWS = 1 << 17
 
@@ -102,9 +103,11 @@ def frequent(parts: DataFrame, support: float) -> DataFrame:
     """field, value_hi, value_lo, count_low, count_high, total: every value that may reach support * total.
 
     Merges summaries.  No value with a true count of support * total is missing, and at most
-    1 / (support - error) per field, plus the tasks' roundings, are listed.  total counts all rows of the table,
-    those without the field's value too.
+    1 / (support - error) per field are listed, as a value's true count is at most error * total below
+    its count_high.  total counts all rows of the table, those without the field's value too.
+    Summaries are staged first, so that counting runs once though they are read twice.
     """
+    parts = stage(parts, "summaries")
     merged = parts.groupBy("field", "hi", "lo").agg(
         F.sum("f").alias("f"), F.sum(F.col("delta") - F.col("buckets")).alias("spared"), F.sum("buckets").alias("buckets"), F.sum("rows_seen").alias("total")
     )
