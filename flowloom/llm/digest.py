@@ -4,8 +4,11 @@ A digest of a group is a short list of centroids (mean, weight, lo, hi): values
 clustered so that a cluster spans at most one unit of k(q) = delta * (asin(2q - 1) / pi + 1/2)
 of the quantiles q it covers, so clusters are small at both tails and at most ``delta`` in all.
 Digests merge by sorting their centroids together and clustering again; a cluster then spans
-at most two units.  Every task keeps one digest per group it has met and folds its rows in,
-some hundred thousand at a time, for all groups at once with array operations.
+at most two units.  A task folds its rows in, some hundred thousand at a time, for all groups at
+once with array operations.  It keeps the digests of the groups it has met while they have no more than
+KEPT_ROWS centroids in all, and sends them on as partial ones beyond that; merging takes the centroids
+sorted by group and sends on every group that is complete.  So a task's memory does not grow
+with the number of groups.
 
 What a digest says is an estimate; ``certify`` counts, in a second pass over the rows, how
 many values lie below it and so how far its rank is off.
@@ -27,6 +30,7 @@ from flowloom.staging import ship
 
 DELTA = 200
 STEP_ROWS = 1 << 18
+KEPT_ROWS = 1 << 19
 #: Up to so many groups the estimates go to every task of the counting pass.
 BROADCAST_GROUPS = 100_000
 
@@ -70,8 +74,12 @@ def _recluster(t: pa.Table, groups: Sequence[str], delta: int) -> pa.Table:
     return out
 
 
-def _folded(batches: Iterator[pa.RecordBatch], spread, groups: Sequence[str], delta: int) -> Iterator[pa.RecordBatch]:
-    """One digest per group from all batches; ``spread`` makes centroids of a table of rows."""
+def _folded(batches: Iterator[pa.RecordBatch], spread, groups: Sequence[str], delta: int, by_group: bool = False) -> Iterator[pa.RecordBatch]:
+    """Digests of the groups from all batches; ``spread`` makes centroids of a table of rows.
+
+    With ``by_group`` rows come sorted by group and each group comes out once; without, a
+    group may come out several times.
+    """
     kept, waiting, n = None, [], 0
 
     def fold() -> pa.Table | None:
@@ -84,13 +92,29 @@ def _folded(batches: Iterator[pa.RecordBatch], spread, groups: Sequence[str], de
             waiting.append(batch)
             n += batch.num_rows
             if n >= STEP_ROWS:
-                kept, waiting, n = fold(), [], 0
+                last, kept = waiting[-1], fold()
+                waiting, n = [], 0
+                if by_group and kept is not None:
+                    open_one = _same_group(kept, last.slice(last.num_rows - 1), groups)
+                    yield from kept.filter(pc.invert(open_one)).to_batches(max_chunksize=1 << 16)
+                    kept = kept.filter(open_one)
+                elif kept is not None and kept.num_rows > KEPT_ROWS:
+                    yield from kept.to_batches(max_chunksize=1 << 16)
+                    kept = None
     if waiting:
         kept = fold()
     if kept is not None:
         yield from kept.to_batches(max_chunksize=1 << 16)
 
 
+def _same_group(t: pa.Table, row: pa.RecordBatch, groups: Sequence[str]) -> pa.ChunkedArray:
+    same = pa.chunked_array([pa.array(np.ones(t.num_rows, bool))])
+    for g in groups:
+        value = row.column(row.schema.get_field_index(g))[0]
+        same = pc.and_(same, pc.fill_null(pc.equal(t[g], value), False) if value.is_valid else pc.is_null(t[g]))
+    return same
+
+
 def _schema(rows: DataFrame, groups: Sequence[str], field: bool) -> T.StructType:
     out = T.StructType([rows.schema[g] for g in groups])
     if field:
@@ -126,13 +150,13 @@ def digests(rows: DataFrame, groups: Sequence[str], measures: Sequence[str], del
 def merge(parts: DataFrame, groups: Sequence[str], delta: int = DELTA) -> DataFrame:
     """Digests of tasks, days or finer groups as one digest per group.
 
-    The shuffle moves at most delta rows per group and task, and folding takes them a step
+    The shuffle moves at most delta rows per group and partial digest, and folding takes them a step
     at a time.
     """
     ship(parts.sparkSession)
     names = list(groups)
-    own = parts.select(*names, "mean", "weight", "lo", "hi").repartition(*names)
-    return own.mapInArrow(lambda bs: _folded(bs, lambda t: t, names, delta), _schema(parts, names, False))
+    own = parts.select(*names, "mean", "weight", "lo", "hi").repartition(*names).sortWithinPartitions(*names)
+    return own.mapInArrow(lambda bs: _folded(bs, lambda t: t, names, delta, True), _schema(parts, names, False))
 
 
 def quantile(merged: DataFrame, groups: Sequence[str], q: float | Sequence[float], delta: int = DELTA) -> DataFrame:
@@ -160,25 +184,26 @@ def quantile(merged: DataFrame, groups: Sequence[str], q: float | Sequence[float
 def certify(rows: DataFrame, estimates: DataFrame, groups: Sequence[str], measures: Sequence[str], probe: Column | None = None) -> DataFrame:
     """estimates with below, upto, n_exact and rank_error: counted, not estimated.
 
-    ``estimates`` (groups, field, q, estimate) should be staged: its size decides whether it
-    is sent to every task or, past BROADCAST_GROUPS, joined by a shuffle over groups and a
-    salt.  ``below`` and ``upto`` count values less than and not above the estimate;
+    ``estimates`` (groups, field, q, estimate) and ``rows`` should be staged: the number of estimates
+    decides whether they are sent to every task or, past BROADCAST_GROUPS, joined by a shuffle over
+    groups and a salt.  Both ways give the same.  ``below`` and ``upto`` count values less than and not above the estimate;
     ``rank_error`` is the share by which the wanted rank lies outside them.  With ``probe``,
     an expression over the columns of estimates, below_probe counts the values less than it.
     """
     own = [*groups, "field", "q"]
-    long_rows = rows.select(
+    # a salt per row, as equal values may be most of a group; read from a staged table it is the same in every attempt
+    salts, salt = 64, F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int")
+    long_rows = rows.select(*groups, *measures, salt.alias("_row_salt")).select(
         *[F.col(g).alias(f"_{g}") for g in groups],
+        "_row_salt",
         F.explode(F.array(*[F.struct(F.lit(m).alias("_field"), F.col(m).cast("double").alias("_v")) for m in measures])).alias("x"),
-    ).select(*[f"_{g}" for g in groups], "x.*").where("_v is not null and not isnan(_v)")
+    ).select(*[f"_{g}" for g in groups], "_row_salt", "x.*").where("_v is not null and not isnan(_v)")
     asked = estimates.withColumn("_probe", probe.cast("double") if probe is not None else F.lit(None).cast("double"))
     match = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups] + [F.col("field") == F.col("_field")]
     if asked.count() <= BROADCAST_GROUPS:
         asked = F.broadcast(asked)
     else:
-        salts = 64
         asked = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        long_rows = long_rows.withColumn("_row_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int"))
         match.append(F.col("_salt") == F.col("_row_salt"))
     one = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
     v, e = F.col("_v"), F.col("estimate")
