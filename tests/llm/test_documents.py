@@ -151,6 +151,73 @@ def test_quality_raises_the_chance(spark):
     assert selection.count() == 6000 and good > 4500
 
 
+def brute_mix(spark, df, targets, seed=0):
+    """copies by document: sorted by draw in one place."""
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    rows = [(x.source, x.d, x.doc_id, x.n_tokens) for x in df.select("*", (-F.log(u) / F.greatest(F.when(F.col("quality") > 0, F.col("quality")).otherwise(1e-9), F.lit(1e-9))).alias("d")).collect()]
+    named = {s.strip().lower(): (w, m) for s, w, m in targets}
+    total = sum(t for s, _, _, t in rows if s in named)
+    out = {}
+    for key, (w, m) in named.items():
+        own = sorted(x[1:] for x in rows if x[0] == key)
+        supply = sum(t for _, _, t in own)
+        epochs = min(m, int(w * total // supply)) if supply else m
+        left = int(w * total - epochs * supply) if epochs < m else 0
+        at = 0
+        for _, i, t in own:
+            at += t
+            if epochs + (at <= left and epochs < m and left > 0):
+                out[i] = epochs + (at <= left and epochs < m and left > 0)
+    return out
+
+
+@pytest.mark.parametrize("ordered", [50_000, 3])
+def test_refined_ranges_against_sorting_everything(spark, ordered, monkeypatch):
+    monkeypatch.setattr(mixing, "ORDERED", ordered)
+    monkeypatch.setattr(mixing, "BINS", 16)
+    r = random.Random(4)
+    rows = [(i, r.choice(["a", "a", "a", "b", "c", None]), r.choice([0, 3, r.randrange(90)]), r.choice([None, 1e-12, 0.05, 0.5, 1.0])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint, quality double")
+    targets = [("A", 0.35, 1), ("b", 0.5, 3), ("c", 0.15, 2)]
+    selection, _ = mixing.mix(df, spark.createDataFrame(targets, "source string, weight double, max_repeats int"))
+    assert {x.doc_id: x.copies for x in selection.collect()} == brute_mix(spark, df, targets)
+
+
+def test_low_qualities_spread_over_the_bins(spark):
+    df = spark.range(40_000).selectExpr("id as doc_id", "'s' as source", "10L as n_tokens", "if(id % 2 = 0, 1e-9D, 0.05D) as quality")
+    mixing_targets = spark.createDataFrame([("s", 0.9, 1)], "source string, weight double, max_repeats int")
+    planned = mixing.plan(df, mixing_targets)
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(0)), 11).cast("double") + 0.5) / float(1 << 53)
+    place = F.floor((F.log(-F.log(u) / F.col("quality")) - mixing.LOG_LOW) / mixing.LOG_SPAN * float(mixing.KEYS)).cast("long")
+    drawn = df.withColumn("place", place)
+    old, mixing.ORDERED = mixing.ORDERED, 40
+    try:
+        cut = mixing._cuts(drawn, planned, True).first()
+    finally:
+        mixing.ORDERED = old
+    assert drawn.where(F.col("place").between(cut.lo, cut.hi)).count() <= 40  # a thousandth of the rows
+
+
+def test_many_sources(spark, monkeypatch):
+    n = 1500
+    df = spark.range(6000).selectExpr("id as doc_id", f"concat('s', id % {n}) as source", "5L + id % 3 as n_tokens", "1.0D as quality")
+    targets = [(f"S{i}", 1 / n, 1 + i % 2) for i in range(n)]
+    frame = spark.createDataFrame(targets, "source string, weight double, max_repeats int")
+    sent = {x.doc_id: x.copies for x in mixing.mix(df, frame)[0].collect()}
+    assert sent == brute_mix(spark, df, targets)
+    monkeypatch.setattr(mixing, "SENT_SOURCES", 0)
+    selection, report = mixing.mix(df, frame)
+    assert {x.doc_id: x.copies for x in selection.collect()} == sent and report.count() == n
+
+
+def test_sources_without_tokens_or_documents_are_short(spark):
+    df = spark.createDataFrame([(1, "a", 0, 1.0), (2, "a", 0, 1.0), (3, "b", 50, 1.0), (4, "c", 50, 1.0)], "doc_id bigint, source string, n_tokens bigint, quality double")
+    targets = spark.createDataFrame([("a", 0.2, 2), ("b", 0.5, 1), ("c", 0.2, 1), ("none", 0.1, 4)], "source string, weight double, max_repeats int")
+    selection, report = mixing.mix(df, targets)
+    assert {x.source: (x.used_tokens, x.short) for x in report.collect()} == {"a": (0, True), "b": (50, False), "c": (0, False), "none": (0, True)}
+    assert {x.doc_id: x.copies for x in selection.collect()} == {1: 2, 2: 2, 3: 1}
+
+
 def test_empty_mixes(spark):
     _, df = documents(spark, 10)
     targets = spark.createDataFrame([("big", 1.0, 2)], "source string, weight double, max_repeats int")

@@ -196,3 +196,58 @@ def test_group_limit_below_and_above_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 as g", "id as i", "id * 7 % 11 as s")
     plan = topn.top_n(df, ["g"], ["i"], "s", 3, more_than=3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+# ---- more of registers, digests and counting at scale
+
+
+@pytest.mark.parametrize("n", [9000, 10_000, 10_500, 11_000, 13_000, 16_000])
+def test_the_stated_error_holds_where_registers_fill_up(spark, n):
+    df = spark.range(n * 40).select((F.col("id") % 40).alias("g"), F.col("id").alias("v"))
+    off = [x.distinct_count / n - 1 for x in registers.estimate(registers.registers(df, ["g"], ["v"]), ["g"]).collect()]
+    assert len(off) == 40 and math.sqrt(sum(x * x for x in off) / 40) <= 1.1 * registers.standard_error()
+    assert abs(sum(off) / 40) <= 0.6 * registers.standard_error()
+
+
+def test_full_registers_and_largest_ranks(spark):
+    rows = [("all", i, 12) for i in range(4096)] + [("top", i, 53 if i < 9 else 50) for i in range(4096)] + [("one", 7, 53)]
+    found = {x.g: x.distinct_count for x in registers.estimate(spark.createDataFrame(rows, "g string, register int, rank byte"), ["g"]).collect()}
+    assert abs(found["all"] / (4096 * 2**12 / (2 * math.log(2))) - 1) < 1e-9
+    assert found["top"] > 4096 * 2**50 / 2 and abs(found["one"] - 1) < 0.01
+
+
+def test_tasks_send_digests_on_when_they_have_many(monkeypatch):
+    monkeypatch.setattr(digest, "STEP_ROWS", 100)
+    monkeypatch.setattr(digest, "KEPT_ROWS", 150)
+    r = random.Random(3)
+    rows = [(r.choice([None, "hot", "hot", *map(str, range(200))]), r.randrange(50), float(r.randrange(9))) for _ in range(4000)]
+    table = lambda xs: pa.table({"g": pa.array([x[0] for x in xs], pa.string()), "h": pa.array([x[1] for x in xs], pa.int64()), **{c: pa.array([x[2] for x in xs]) for c in ("mean", "lo", "hi")}, "weight": pa.array([1] * len(xs), pa.int64())})
+    columns = ["g", "h", "mean", "weight", "lo", "hi"]
+    parts = list(digest._folded(iter(table(rows).select(columns).to_batches(max_chunksize=60)), lambda t: t, ["g", "h"], 200))
+    assert len(parts) > 10 and max(map(len, parts)) <= 500
+    whole = pa.Table.from_batches(parts)
+    assert sum(whole["weight"].to_pylist()) == len(rows)
+    # the merge sees centroids sorted by group, and each group comes out in one go
+    ordered = whole.sort_by([("g", "ascending"), ("h", "ascending")])
+    done = [b.to_pylist() for b in digest._folded(iter(ordered.to_batches(max_chunksize=60)), lambda t: t, ["g", "h"], 200, True)]
+    groups = [{(x["g"], x["h"]) for x in xs} for xs in done]
+    assert len(done) > 10 and sum(map(len, groups)) == len(set.union(*groups)) == len({x[:2] for x in rows})
+    counts = Counter()
+    for xs in done:
+        for x in xs:
+            counts[x["g"], x["h"]] += x["weight"]
+    assert counts == Counter(x[:2] for x in rows)
+
+
+def test_salts_spread_equal_values(spark, monkeypatch):
+    monkeypatch.setattr(digest, "BROADCAST_GROUPS", 0)
+    df = spark.range(64_000).select(F.lit(1).alias("g"), F.lit(0).alias("v"))
+    estimates = digest.quantile(digest.merge(digest.digests(df, ["g"], ["v"]), ["g", "field"]), ["g", "field"], 0.5)
+    plan = digest.certify(df, estimates, ["g"], ["v"])
+    x = plan.first()
+    assert x.n_exact == x.upto == 64_000 and x.below == 0 and "monotonically_increasing_id" in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_counting_runs_once(spark, sf):
+    plan = queries.queries()["p2_frequent"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # it ran when summaries were staged
