@@ -8,26 +8,43 @@
 
 The words of a block are a small part of its text, and positions compress to about a byte
 each, so neither shuffle moves as much as the texts.  No dictionary of the corpus is ever in one
-place: a task holds one block and its words.
+place: a task holds one block and its words.  Both shuffles have as many partitions as their data fill
+at the session's advisory partition size, which the staged blocks tell.
+
+Decoding goes the same way back: blocks list their distinct ids, a join with the table (id, piece) of the
+vocabulary gives their pieces, and those return by block to the positions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.tokens import Vocabulary, batch_words, slices, spread, words_column
+from flowloom.llm.tokens import Vocabulary, batch_words, slices, words_column
 from flowloom.staging import stage
 
 #: Rows of (block, position, ids) put together before they go on, sorted by block.
 GATHER = 1 << 20
+#: What a row of a block's words or ids takes beside the word.
+ROW_BYTES = 12
+#: Ids of a block when decoding.
+BLOCK_IDS = 1 << 20
+
+
+def _partitions(blocks: DataFrame, size: Column) -> int:
+    """As many as the size summed over the blocks fills at the advisory size, but all cores at least."""
+    spark = blocks.sparkSession
+    advised = spark._jsparkSession.sessionState().conf().getConfString("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    each = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(advised)
+    return max(spark.sparkContext.defaultParallelism, math.ceil((blocks.agg(F.sum(size)).first()[0] or 0) / each))
 
 
 def _packed(codes: np.ndarray) -> bytes:
@@ -46,7 +63,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """block, ids of the texts, their numbers of words, positions of all words in a row, and the block's distinct words."""
+    """block, ids of the texts, their numbers of words, positions of all words in a row, the block's distinct words, and bytes of these and of the positions."""
     words, hard = words_column(F.col(text))
     kind = texts.schema[key].dataType
 
@@ -62,15 +79,18 @@ def _blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
                 place = np.empty_like(order)
                 place[order] = np.arange(len(order))
                 distinct = coded.dictionary.take(pa.array(order))
+                positions = _packed(place[codes])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([number], pa.int64()),
                         pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0)),
                         pa.array([counts.astype("<i8").tobytes()], pa.binary()),
-                        pa.array([_packed(place[codes])], pa.binary()),
+                        pa.array([positions], pa.binary()),
                         pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct),
+                        pa.array([(pc.sum(pc.binary_length(distinct)).as_py() or 0) + ROW_BYTES * len(distinct)], pa.int64()),
+                        pa.array([len(positions) + ROW_BYTES * len(distinct)], pa.int64()),
                     ],
-                    names=["block", "keys", "counts", "positions", "words"],
+                    names=["block", "keys", "counts", "positions", "words", "word_bytes", "position_bytes"],
                 )
                 number += 1
 
@@ -81,18 +101,20 @@ def _blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
         .add("counts", T.BinaryType())
         .add("positions", T.BinaryType())
         .add("words", T.ArrayType(T.StringType()))
+        .add("word_bytes", T.LongType())
+        .add("position_bytes", T.LongType())
     )
-    return spread(texts.select(key, text), key).select(F.col(key).alias("key"), words.alias("words"), hard.alias("hard")).mapInArrow(pack, schema)
+    return texts.select(F.col(key).alias("key"), words.alias("words"), hard.alias("hard")).mapInArrow(pack, schema)
 
 
 def _encoded_words(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """block, positions, and the ids of the words there, each distinct word encoded once."""
     each = blocks.select("block", F.posexplode("words").alias("position", "word"))
-    met = each.repartition("word").sortWithinPartitions("word")
+    met = each.repartition(_partitions(blocks, F.col("word_bytes")), "word").sortWithinPartitions("word")
     wide = "<u2" if vocabulary.size <= 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = vocabulary.encoding()._encode_single_piece
+        one = vocabulary.single()
         last, last_ids = None, None
         held, n = [], 0
 
@@ -152,7 +174,7 @@ def encode(texts: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> Dat
         "block", F.lit(0).alias("part"), "positions", "sizes", "ids", F.lit(None).cast(T.ArrayType(kind)).alias("keys")
     )
     rows = blocks.select("block", F.lit(1).alias("part"), "positions", F.col("counts").alias("sizes"), F.lit(None).cast("binary").alias("ids"), "keys")
-    together = words.unionByName(rows).repartition("block").sortWithinPartitions("block", "part")
+    together = words.unionByName(rows).repartition(_partitions(blocks, F.col("position_bytes")), "block").sortWithinPartitions("block", "part")
     wide = "<u2" if vocabulary.size <= 1 << 16 else "<u4"
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,39 +203,78 @@ def encode(texts: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> Dat
     return together.mapInArrow(pick, T.StructType().add("key", kind).add("ids", T.ArrayType(T.IntegerType()))).select(F.col("key").alias(key), "ids")
 
 
+def _id_blocks(encoded: DataFrame, key: str, ids: str) -> DataFrame:
+    """block, keys, their numbers of ids, positions of all ids in a row, the block's distinct ids, and bytes that go on."""
+    kind = encoded.schema[key].dataType
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            counts = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, at = np.cumsum(counts), 0
+            while at < batch.num_rows:  # rows of about BLOCK_IDS ids, or one that has more
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_IDS, side="right")))
+                part = batch.slice(at, to - at)
+                distinct, places = np.unique(pc.fill_null(part.column(1).flatten(), -1).to_numpy(zero_copy_only=False), return_inverse=True)
+                positions = _packed(places)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([number], pa.int64()),
+                        pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0)),
+                        pa.array([counts[at:to].astype("<i8").tobytes()], pa.binary()),
+                        pa.array([positions], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), pa.array(distinct, pa.int32())),
+                        pa.array([len(positions) + 3 * ROW_BYTES * len(distinct)], pa.int64()),
+                    ],
+                    names=["block", "keys", "counts", "positions", "ids", "bytes"],
+                )
+                number, at = number + 1, to
+
+    schema = T.StructType().add("block", T.LongType()).add("keys", T.ArrayType(kind)).add("counts", T.BinaryType()).add("positions", T.BinaryType())
+    schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("bytes", T.LongType())
+    return encoded.select(F.col(key).alias("key"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(pack, schema)
+
+
 def decode(encoded: DataFrame, key: str, ids: str, vocabulary: Vocabulary) -> DataFrame:
-    """key and text, by joining each id with its piece of the vocabulary.
+    """key and text, by joining the distinct ids of each block with their pieces of the vocabulary.
 
-    The vocabulary has a fixed size (some ten thousand pieces) and goes to every task, where the
-    join is by position: the ids of a batch pick their pieces from one array, and the bytes
-    picked for a text lie next to each other, so nothing is grouped or shuffled.  Null and empty ids give an
-    empty text, ids that the vocabulary lacks give nothing.  A text is put together from all its
-    bytes before it is read as UTF-8; what is no UTF-8 becomes replacement characters.
+    Null and empty ids give an empty text, ids that the vocabulary lacks, or null, give nothing.  A text
+    is put together from all its bytes before it is read as UTF-8; what is no UTF-8 becomes replacement
+    characters.  Repeated keys give one row each.
     """
     kind = encoded.schema[key].dataType
+    blocks = stage(_id_blocks(encoded, key, ids), "idblocks")
+    each = blocks.select("block", F.posexplode("ids").alias("position", "id"))
+    # the table of pieces has a fixed size, some ten thousand rows
+    found = each.join(F.broadcast(vocabulary.table(encoded.sparkSession)), "id", "left").select(
+        "block", "position", "piece", F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("positions"), F.lit(None).cast(T.ArrayType(kind)).alias("keys")
+    )
+    rows = blocks.select("block", F.lit(2**31 - 1).alias("position"), F.lit(None).cast("binary").alias("piece"), "counts", "positions", "keys")  # after the pieces
+    together = found.unionByName(rows).repartition(_partitions(blocks, F.col("bytes")), "block").sortWithinPartitions("block", "position")
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.ranks()
-        size = max(known.values()) + 1
-        by_id = [b""] * (size + 1)
-        for piece, i in known.items():
-            by_id[i] = piece
-        pieces = pa.array(by_id, pa.large_binary())
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                counts = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = pc.fill_null(part.column(1).flatten(), -1).to_numpy(zero_copy_only=False)
-                picked = pieces.take(pa.array(np.where((flat < 0) | (flat >= size), size, flat)))
-                offsets = np.frombuffer(picked.buffers()[1], np.int64)[picked.offset : picked.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
-                ends = offsets[np.r_[0, np.cumsum(counts)]]
-                data = picked.buffers()[2] or pa.py_buffer(b"") if len(flat) else pa.py_buffer(b"")
-                texts = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends.tobytes()), data])
-                try:
-                    texts = texts.cast(pa.large_string())
-                except pa.ArrowInvalid:
-                    texts = pa.array([x.as_py().decode(errors="replace") for x in texts], pa.large_string())
-                yield pa.RecordBatch.from_arrays([part.column(0), texts.cast(pa.string())], names=["key", "text"])
-
-    slim = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
-    return slim.mapInArrow(join, T.StructType().add("key", kind).add("text", T.StringType())).withColumnRenamed("key", key)
+            at = 0
+            for i in np.flatnonzero(pc.is_valid(batch.column(4)).to_numpy(zero_copy_only=False)).tolist():
+                pieces = pc.fill_null(pa.concat_arrays([*held, batch.column(2).slice(at, i - at)]).cast(pa.large_binary()), b"")
+                held, at = [], i + 1
+                counts = np.frombuffer(batch.column(3)[i].as_buffer(), "<i8")
+                keys = batch.column(5)[i].values
+                codes = _unpacked(batch.column(4)[i].as_py())
+                first = np.r_[0, np.cumsum(counts)]
+                for some in range(0, len(keys), 512):
+                    own = first[some : some + 513]
+                    picked = pieces.take(pa.array(codes[own[0] : own[-1]]))
+                    offsets = np.frombuffer(picked.buffers()[1], np.int64)[picked.offset : picked.offset + len(picked) + 1] if len(picked) else np.zeros(1, np.int64)
+                    data = picked.buffers()[2] or pa.py_buffer(b"") if len(picked) else pa.py_buffer(b"")
+                    texts = pa.Array.from_buffers(pa.large_binary(), len(own) - 1, [None, pa.py_buffer(offsets[own - own[0]].tobytes()), data])
+                    try:
+                        texts = texts.cast(pa.large_string())
+                    except pa.ArrowInvalid:
+                        texts = pa.array([x.as_py().decode(errors="replace") for x in texts], pa.large_string())
+                    yield pa.RecordBatch.from_arrays([keys.slice(some, 512), texts.cast(pa.string())], names=["key", "text"])
+            if at < batch.num_rows:
+                held.append(batch.column(2).slice(at))
+
+    return together.mapInArrow(pick, T.StructType().add("key", kind).add("text", T.StringType())).withColumnRenamed("key", key)

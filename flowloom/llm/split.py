@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.tokens import Vocabulary, batch_words, distinct_costs, joined, slices, spread, words_column
+from flowloom.llm.tokens import Vocabulary, batch_words, distinct_costs, joined, slices, words_column
 
 LIMIT, OVERLAP = 4000, 100
 
@@ -77,32 +77,39 @@ def line_places(text: str) -> tuple[list[int], list[int]]:
 
 
 def merged(sizes: list[int], grades: list[int], room: int) -> list[int]:
-    """First segments of the runs left after merging: segment i and i + 1 meet at a place of grade grades[i]."""
+    """First segments of the runs left after merging: segment i and i + 1 meet at a place of grade grades[i].
+
+    The heap holds a pair as one number: grade, size of both, first segment.  Pairs that do not fit
+    never will, as segments only grow, and stay out of it.
+    """
     n = len(sizes)
     size, left, right = list(sizes), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
-    heap = [(g, size[i] + size[i + 1], i, i + 1) for i, g in enumerate(grades)]
-    heapq.heapify(heap)
+    both = np.array(sizes[:-1], np.int64) + np.array(sizes[1:], np.int64)
+    fits = np.flatnonzero(both <= room)
+    of = [g << 56 for g in grades]
+    heap = np.sort((np.array(grades, np.int64)[fits] << 56) | (both[fits] << 32) | fits).tolist()  # sorted, so it is a heap
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        grade, both, a, b = heapq.heappop(heap)
-        if not (alive[a] and alive[b]) or right[a] != b:
-            continue
-        now = size[a] + size[b]
-        if now > room:
-            continue  # segments only grow: this place stays a cut
-        if now != both:
-            heapq.heappush(heap, (grade, now, a, b))
+        pair = pop(heap)
+        a = pair & 0xFFFFFFFF
+        if not alive[a]:
             continue
-        size[a], alive[b], right[a] = now, False, right[b]
-        if right[b] < n:
-            left[right[b]] = a
-            heapq.heappush(heap, (grades[right[b] - 1], now + size[right[b]], a, right[b]))
-        if left[a] >= 0:
-            heapq.heappush(heap, (grades[a - 1], size[left[a]] + now, left[a], a))
+        b = right[a]
+        if b >= n or of[b - 1] | (now := size[a] + size[b]) << 32 | a != pair:
+            continue  # one of them has grown since: the pair as it is now waits elsewhere
+        c = right[b]
+        size[a], alive[b], right[a] = now, False, c
+        if c < n:
+            left[c] = a
+            if (larger := now + size[c]) <= room:
+                push(heap, of[c - 1] | larger << 32 | a)
+        if (p := left[a]) >= 0 and (larger := size[p] + now) <= room:
+            push(heap, of[a - 1] | larger << 32 | p)
     return [i for i in range(n) if alive[i]]
 
 
-def _refined(text: str, lengths: np.ndarray, costs: np.ndarray, spaces: np.ndarray, encoding, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _refined(text: str, lengths: np.ndarray, costs: np.ndarray, spaces: np.ndarray, one, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of more than ``most`` tokens in parts of whole characters, anything else as it is; where a part is followed by one of the same word."""
     step = max(1, most // 4)  # a character is at most four bytes, each at most a token
     starts = np.cumsum(lengths) - lengths
@@ -118,27 +125,28 @@ def _refined(text: str, lengths: np.ndarray, costs: np.ndarray, spaces: np.ndarr
             cut = [word[k : k + step] for k in range(0, len(word), step)]
             inner = np.ones(len(cut), bool)
             inner[-1] = False
-            sizes = [len(encoding._encode_single_piece(x)) for x in cut]
+            sizes = [len(one(x)) for x in cut]
             for held, xs in zip(parts, ([len(x) for x in cut], sizes, [bool(spaces[i])] * len(cut), inner)):
                 held.append(np.array(xs))
     return tuple(np.concatenate(held) for held in parts)
 
 
-def pieces(text: str, lengths: np.ndarray, costs: np.ndarray, spaces: np.ndarray, encoding, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+def pieces(text: str, lengths: np.ndarray, costs: np.ndarray, spaces: np.ndarray, encode, one, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
     """(start, core_start, end, tokens) of each piece of one text, in characters; a piece overlaps its predecessor on [start, core_start).
 
     lengths, costs, spaces: characters and tokens of the text's words, and whether each is white space.
+    encode, one: the ids of a text, and those of a single word.
     """
-    room, original = limit - overlap, (lengths, costs, spaces)
+    room = limit - overlap
     most = min(room, overlap) if overlap else room
     inner = np.zeros(len(lengths), bool)
     if refined := int(costs.max(initial=0)) > most:
-        lengths, costs, spaces, inner = _refined(text, lengths, costs, spaces, encoding, most)
+        lengths, costs, spaces, inner = _refined(text, lengths, costs, spaces, one, most)
     ends = np.cumsum(lengths)
     costs = costs.copy()
     fixed = np.ones(len(lengths), bool)  # a cut may come after this word
     for i in np.flatnonzero(spaces[1:] & spaces[:-1] & ~inner[:-1]).tolist():  # white space in two words, the second of which would join the first
-        joint = len(encoding._encode_single_piece(text[ends[i] - lengths[i] : ends[i + 1]]))
+        joint = len(one(text[ends[i] - lengths[i] : ends[i + 1]]))
         costs[i + 1] = max(costs[i + 1], joint - costs[i])
         fixed[i] = False
     # grades of the places after each word
@@ -156,19 +164,28 @@ def pieces(text: str, lengths: np.ndarray, costs: np.ndarray, spaces: np.ndarray
     stops = np.r_[cores[1:], len(lengths)]
     begins = np.r_[0, ends]
     out, last = [], 0
-    for k, (a, b) in enumerate(zip(cores.tolist(), stops.tolist())):
+    waiting = list(zip(cores.tolist(), stops.tolist()))[::-1]
+    while waiting:
+        a, b = waiting.pop()
         first = a
-        if k and overlap:
-            first = int(np.searchsorted(upto, upto[a] - overlap, side="left"))
-            first = max(first, last)
+        if out and overlap:
+            first = max(int(np.searchsorted(upto, upto[a] - overlap, side="left")), last)
             while first < a and first and not fixed[first - 1]:
                 first += 1
-        start, end, size = int(begins[first]), int(begins[b]), int(upto[b] - upto[first])
-        if refined:  # parts of a word may join into other tokens than they are alone
-            size = len(encoding.encode_ordinary(text[start:end]))
-            if size > limit and room > 8:
-                return pieces(text, *original, encoding, limit - room // 4, overlap)
-        out.append((start, int(begins[a]), end, size))
+        size = int(upto[b] - upto[first])
+        if refined:  # parts of a word may join into other tokens than they are alone, seldom more of them
+            size = len(encode(text[begins[first] : begins[b]]))
+            if size > limit and first < a:  # less overlap, or none
+                first = next((i for i in range((first + a + 1) // 2, a) if fixed[i - 1]), a)
+                size = len(encode(text[begins[first] : begins[b]]))
+                if size > limit:
+                    first, size = a, len(encode(text[begins[a] : begins[b]]))
+            places = np.flatnonzero(fixed[a : b - 1]) + a + 1
+            if size > limit and len(places):  # this piece only, as near its middle as can be
+                middle = int(places[np.argmin(np.abs(2 * upto[places] - upto[a] - upto[b]))])
+                waiting += [(middle, b), (a, middle)]
+                continue
+        out.append((int(begins[first]), int(begins[a]), int(begins[b]), size))
         last = first
     return out
 
@@ -176,15 +193,11 @@ def pieces(text: str, lengths: np.ndarray, costs: np.ndarray, spaces: np.ndarray
 def _segments(grades: np.ndarray, fixed: np.ndarray, upto: np.ndarray, room: int) -> np.ndarray:
     """First words of the atomic segments, each of at most ``room`` tokens where words allow.
 
-    Segments are lines; of lines that are too long, sentences; of sentences that are too long, runs of
-    words of some 1/128 of a piece, as places between words are all alike.
+    Segments are lines; of lines that are too long, sentences; of sentences that are too long, words.
     """
     n = len(grades)
-    grain = max(1, room // 128)
-    run, large = upto // grain, np.diff(upto) > grain
-    steps = (run[1:] != run[:-1]) | large | np.r_[large[1:], False]
     cuts = np.flatnonzero((grades >= LINE) & fixed) + 1
-    for finer in (grades >= SENTENCE, steps):
+    for finer in (SENTENCE, WORD):
         starts = np.unique(np.r_[0, cuts[cuts < n]])
         stops = np.r_[starts[1:], n]
         long = np.flatnonzero(upto[stops] - upto[starts] > room)
@@ -193,7 +206,7 @@ def _segments(grades: np.ndarray, fixed: np.ndarray, upto: np.ndarray, room: int
         inside = np.zeros(n, bool)
         for i in long.tolist():
             inside[starts[i] : stops[i]] = True
-        cuts = np.r_[starts, np.flatnonzero(finer & fixed & inside) + 1]
+        cuts = np.r_[starts, np.flatnonzero((grades >= finer) & fixed & inside) + 1]
     return np.unique(np.r_[0, cuts[cuts < n]])
 
 
@@ -209,16 +222,16 @@ def split(documents: DataFrame, key: str, text: str, vocabulary: Vocabulary, lim
         raise ValueError("limit must be at least 32, and overlap at most a quarter of it")
     words, hard = words_column(F.col(text))
     kind = documents.schema[key].dataType.simpleString()
-    given = spread(documents.where(F.col(text).isNotNull()).select(key, text), key).select(F.col(key).alias("key"), words.alias("words"), hard.alias("hard"))
+    given = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), words.alias("words"), hard.alias("hard"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = vocabulary.encoding()
+        encode, one = vocabulary.encoding().encode_ordinary, vocabulary.single()
         for batch in batches:
             for part in slices(batch):
                 flat, counts = batch_words(part)
                 coded = flat.dictionary_encode()
                 distinct = coded.dictionary.to_pylist()
-                each = distinct_costs(distinct, encoding)
+                each = distinct_costs(distinct, one, vocabulary.mark)
                 blank = np.fromiter((not w.strip() for w in distinct), bool, len(distinct))
                 codes = coded.indices.to_numpy() if len(flat) else np.zeros(0, np.int64)
                 costs, spaces = each[codes], blank[codes]
@@ -234,7 +247,7 @@ def split(documents: DataFrame, key: str, text: str, vocabulary: Vocabulary, lim
                         rest.append((1, 1, 0, 0, int(length[i]), int(tokens[i])))
                         continue
                     own = slice(ends[i], ends[i + 1])
-                    found = pieces(joined(flat, ends[i], ends[i + 1]), sizes[own], costs[own], spaces[own], encoding, limit, overlap)
+                    found = pieces(joined(flat, ends[i], ends[i + 1]), sizes[own], costs[own], spaces[own], encode, one, limit, overlap)
                     row += [i] * len(found)
                     rest += [(k + 1, len(found), a, c, b, t) for k, (a, c, b, t) in enumerate(found)]
                 names = ["piece", "pieces", "start", "core_start", "end", "n_tokens"]

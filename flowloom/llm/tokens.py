@@ -30,9 +30,13 @@ NAME = "byte_bpe_50k"
 #: Fixed values of the public tokenizer: its split pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Takes a text as a single word.
+WHOLE = r"[\s\S]+"
+
+#: Beyond, a text's words come some at a time; a matter of memory, as both ways give the same words.
 LONG_CHARS = 1_000_000
 
-_LOADED: dict[str, object] = {}
+_LOADED: dict[tuple[str, str], object] = {}
 _PATTERN: list = []
 #: Numbers of ids by word, of one tokenizer, whose mark is at None.
 _COSTS: dict = {}
@@ -53,13 +57,24 @@ class Vocabulary:
     def ranks(self) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, self._data.value.splitlines())}
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """id and piece, as many rows as the vocabulary has."""
+        return spark.createDataFrame(pa.table({"id": pa.array(list((r := self.ranks()).values()), pa.int32()), "piece": pa.array(list(r), pa.binary())}))
+
     def encoding(self):
         """In a worker: the loaded tokenizer, one per process."""
-        if self.mark not in _LOADED:
+        return self._loaded(PATTERN)
+
+    def single(self):
+        """In a worker: the function from a word, as the pattern splits them, to its ids."""
+        return self._loaded(WHOLE).encode_ordinary
+
+    def _loaded(self, pattern: str):
+        if (self.mark, pattern) not in _LOADED:
             import tiktoken
 
-            _LOADED[self.mark] = tiktoken.Encoding(self.mark, pat_str=PATTERN, mergeable_ranks=self.ranks(), special_tokens={})
-        return _LOADED[self.mark]
+            _LOADED[self.mark, pattern] = tiktoken.Encoding(self.mark, pat_str=pattern, mergeable_ranks=self.ranks(), special_tokens={})
+        return _LOADED[self.mark, pattern]
 
 
 def split_by_python(text: str) -> Iterator[list[str]]:
@@ -77,12 +92,6 @@ def split_by_python(text: str) -> Iterator[list[str]]:
         at = end
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """The rows by key over all cores where the scan has fewer parts than there are cores, as with one small file; else as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def words_column(text: Column) -> tuple[Column, Column]:
     """(words, hard): the words by the JVM and null, or null and the text itself for Python to split."""
     hard = (F.length(text) > LONG_CHARS) | text.rlike(r"\p{Cn}")
@@ -115,37 +124,34 @@ def joined(words: pa.Array, start: int, stop: int) -> str:
     return words.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes().decode() if stop > start else ""
 
 
-def distinct_costs(words: list[str], encoding) -> np.ndarray:
-    """The number of ids of each of the words, remembered within the process up to a bound."""
-    if len(_COSTS) > REMEMBERED:
-        _COSTS.clear()
-    one, known, mark = encoding._encode_single_piece, _COSTS.setdefault, encoding.name
-    if _COSTS.get(None) != mark:
+def distinct_costs(words: list[str], one, mark: str) -> np.ndarray:
+    """The number of ids of each of the words, remembered within the process up to a bound; ``mark`` names the tokenizer."""
+    if len(_COSTS) > REMEMBERED or _COSTS.get(None) != mark:
         _COSTS.clear()
         _COSTS[None] = mark
-    get = _COSTS.get
+    get, known = _COSTS.get, _COSTS.setdefault
     return np.fromiter((get(w) or known(w, len(one(w))) for w in words), np.int64, len(words))
 
 
-def word_costs(words: pa.Array, encoding) -> np.ndarray:
+def word_costs(words: pa.Array, one, mark: str) -> np.ndarray:
     """The number of ids of each word; every distinct word of the batch is looked at once."""
     coded = words.dictionary_encode()
-    costs = distinct_costs(coded.dictionary.to_pylist(), encoding)
+    costs = distinct_costs(coded.dictionary.to_pylist(), one, mark)
     return costs[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
 
 
 def count_tokens(rows: DataFrame, text: str, keep: list[str], vocabulary: Vocabulary) -> DataFrame:
     """keep and n_tokens; a null text has 0."""
     words, hard = words_column(F.col(text))
-    given = spread(rows.select(*dict.fromkeys([*keep, text])), keep[0]).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], words.alias("words"), hard.alias("hard"))
+    given = rows.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], words.alias("words"), hard.alias("hard"))
     kept = [rows.schema[c] for c in keep]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = vocabulary.encoding()
+        one = vocabulary.single()
         for batch in batches:
             for part in slices(batch):
                 flat, counts = batch_words(part)
-                ends = np.r_[0, np.cumsum(word_costs(flat, encoding))]
+                ends = np.r_[0, np.cumsum(word_costs(flat, one, vocabulary.mark))]
                 at = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[: len(kept)], pa.array(ends[at] - ends[at - counts])], names=[*keep, "n_tokens"]

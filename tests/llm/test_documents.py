@@ -58,7 +58,7 @@ def test_long_texts_are_split_by_python_in_parts(odd, vocabulary, monkeypatch):
     monkeypatch.setattr(tokens, "LONG_CHARS", 50)
     parts = list(split_by_python(text))
     assert len(parts) > 10 and "".join(w for p in parts for w in p) == text
-    assert [i for p in parts for w in p for i in whole._encode_single_piece(w)] == whole.encode_ordinary(text)
+    assert [i for p in parts for w in p for i in vocabulary.single()(w)] == whole.encode_ordinary(text)
     counted = count_tokens(odd, "text", ["doc_id"], vocabulary)  # now nearly every text takes that way
     assert {x.doc_id: x.n_tokens for x in counted.collect()} == {i: len(whole.encode_ordinary(t or "")) for i, t in enumerate(ODD)}
 
@@ -235,3 +235,89 @@ def test_found_sources(spark, sf, vocabulary):
             have[x.source.strip().lower()] += len(vocabulary.encoding().encode_ordinary(x.text or ""))
     total = sum(have[t.source.strip().lower()] for t in targets)
     assert {x.source for x in p9_found(spark, sf).collect()} == {t.source for t in targets if have[t.source.strip().lower()] * t.max_repeats < t.weight * total}
+
+
+# ---- more of splitting and decoding
+
+
+def naive_merge(sizes, grades, room):
+    runs = [[i] for i in range(len(sizes))]
+    while True:
+        best = None
+        for j in range(len(runs) - 1):
+            both = sum(sizes[i] for i in runs[j] + runs[j + 1])
+            if both <= room and (best is None or (grades[runs[j + 1][0] - 1], both, runs[j][0]) < best[0]):
+                best = ((grades[runs[j + 1][0] - 1], both, runs[j][0]), j)
+        if best is None:
+            return [r[0] for r in runs]
+        runs[best[1] : best[1] + 2] = [runs[best[1]] + runs[best[1] + 1]]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_merging_against_looking_at_every_pair(seed):
+    r = random.Random(seed)
+    n = r.choice([1, 2, 30, 90])
+    sizes, grades = [r.choice([0, 1, 1, 2, 7, 40]) for _ in range(n)], [r.choice([0, 0, 0, 1, 2, 5]) for _ in range(n - 1)]
+    for room in (3, 20, 100):
+        assert splitting.merged(sizes, grades, room) == naive_merge(sizes, grades, room)
+
+
+def test_words_are_the_atoms_of_a_long_sentence(spark, vocabulary):
+    r = random.Random(5)
+    text = " ".join(r.choice(["alpha", "be", "gammadelta", "x1y2", "incomprehensibilities"]) for _ in range(900))
+    whole = vocabulary.encoding()
+    words = [w for part in split_by_python(text) for w in part]
+    sizes = [len(whole.encode_ordinary(w)) for w in words]
+    limit, overlap = 120, 20
+    firsts = naive_merge(sizes, [0] * (len(sizes) - 1), limit - overlap)
+    begins = [sum(map(len, words[:i])) for i in firsts]
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = sorted((x.piece, x.core_start, x.n_tokens) for x in splitting.split(df, "doc_id", "text", vocabulary, limit, overlap).collect())
+    assert [c for _, c, _ in got] == begins and all(n <= limit for _, _, n in got)
+    assert len({i % 7 for i in firsts}) > 3  # not on a grid
+
+
+def test_only_the_piece_that_is_too_large_is_cut_again(vocabulary):
+    """An encoder under which one stretch of a long word costs more than its parts do."""
+    import numpy as np
+
+    text = "plain words here " * 20 + "Q" * 60 + " plain words there" * 20
+    words = [w for part in split_by_python(text) for w in part]
+    one = vocabulary.single()
+    encode = lambda t: one(t) if "Q" * 8 not in t else [0] * (45 + len(t) // 4)
+    array = lambda xs: np.array(xs)
+    sizes, costs, blank = array(list(map(len, words))), array([60 if "Q" in w else len(one(w)) for w in words]), array([not w.strip() for w in words])
+    found = splitting.pieces(text, sizes, costs, blank, encode, one, 48, 12)
+    assert "".join(text[c:b] for _, c, b, _ in found) == text and all(n <= 48 or "Q" * 8 in text[a:b] for a, _, b, n in found)
+    plain = splitting.pieces(text, sizes, costs, blank, one, one, 48, 12)
+    elsewhere = lambda xs: {(c, b) for a, c, b, _ in xs if "Q" not in text[a:b]}
+    assert len(found) > len(plain) and elsewhere(plain) <= elsewhere(found)  # the others are as they were
+
+
+def test_blocks_of_ids(spark, vocabulary, monkeypatch):
+    whole = vocabulary.encoding()
+    texts = {i: f"text {i} " + "é\U0001f600 word " * (i % 50) for i in range(1500)}
+    df = spark.createDataFrame([(i, whole.encode_ordinary(t)) for i, t in texts.items()], "doc_id bigint, ids array<int>")
+    assert {x.doc_id: x.text for x in decode(df, "doc_id", "ids", vocabulary).collect()} == texts
+    assert "BroadcastHashJoin" in decode(df, "doc_id", "ids", vocabulary)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partitions_follow_the_size(spark):
+    from flowloom.llm.encode import _partitions
+
+    df = spark.range(10).select((F.col("id") * 0 + (64 << 20)).alias("b"))
+    assert _partitions(df, F.col("b")) == 10 and _partitions(df.limit(0), F.col("b")) == spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m")
+    try:
+        assert _partitions(df, F.col("b")) == 80
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_spreading_a_small_table_changes_nothing(spark, sf, vocabulary):
+    from flowloom.llm.document_queries import _documents
+
+    plain = table(spark, sf, "documents")
+    assert plain.rdd.getNumPartitions() < _documents(spark, sf).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    key = lambda df: sorted((x.doc_id, x.n_tokens) for x in count_tokens(df, "text", ["doc_id"], vocabulary).collect())
+    assert key(plain) == key(_documents(spark, sf))
