@@ -30,49 +30,53 @@ def _named(token: str, names: tuple[str, ...]) -> int | None:
     return next((i for i, n in enumerate(names) if word in (n, n[:3])), None)
 
 
+def _parts(token: str, tz) -> dict[str, int]:
+    """What a token says: any of year, month, day, weekday, hour, minute, second."""
+    for form in _DATES:
+        try:
+            date = datetime.strptime(token, form)
+            return {"year": date.year, "month": date.month, "day": date.day}
+        except ValueError:
+            continue
+    if re.fullmatch(r"\d{1,2}:\d{2}", token):
+        clock = datetime.strptime(token, "%H:%M")
+        return {"hour": clock.hour, "minute": clock.minute}
+    if (weekday := _named(token, _DAYS)) is not None:
+        return {"weekday": weekday}
+    if (month := _named(token, _MONTHS)) is not None:
+        return {"month": month + 1}
+    if token.isdigit():
+        moment = datetime.fromtimestamp(int(token), tz)
+        return {x: getattr(moment, x) for x in ("year", "month", "day", "hour", "minute", "second")}
+    raise ValueError(f"invalid time specifier '{token}'")
+
+
 def parse_time(text: str, zone: str | None = None, now: datetime | None = None) -> int:
-    """Epoch seconds of white-space separated date, time, weekday, month or epoch tokens; later ones win.
+    """Epoch seconds of white-space separated date, time, weekday, month or epoch tokens.
 
-    Only a weekday means that day of the last seven, today included; only a month its first day,
-    this year or, if it lies ahead, last year; no time is midnight; only a time is today or, if
-    its hour is ahead of now, yesterday.
+    A token replaces those parts of earlier ones that it names: a month that follows a date
+    changes its month only, a time that follows an epoch its hour and minute.  Of what is left open:
+    a weekday without a date is that day of the last seven, today included; a month without a day is its
+    first day, this year or, if it lies ahead, last year; no time is midnight; only a time is today or,
+    if its hour is ahead of now, yesterday.  Days past a month's end run into the next.
     """
     tz = zone_of(zone)
     now = (now or datetime.now(timezone.utc)).astimezone(tz)
-    date = clock = weekday = month = epoch = None
-    tokens = text.split()
-    if not tokens:
+    given: dict[str, int] = {}
+    for token in text.split():
+        given |= _parts(token, tz)
+    if not given:
         raise ValueError("empty time specification")
-    for token in tokens:
-        for form in _DATES:
-            try:
-                date = datetime.strptime(token, form).date()
-                break
-            except ValueError:
-                continue
-        else:
-            if re.fullmatch(r"\d{1,2}:\d{2}", token):
-                clock = datetime.strptime(token, "%H:%M").time()
-            elif (found := _named(token, _DAYS)) is not None:
-                weekday = found
-            elif (found := _named(token, _MONTHS)) is not None:
-                month = found + 1
-            elif token.isdigit():
-                epoch = int(token)
-            else:
-                raise ValueError(f"invalid time specifier '{token}'")
-    if epoch is not None:
-        return epoch
-    if date is None:
-        date = now.date()
-        if weekday is not None:
-            date -= timedelta(days=(now.weekday() - weekday) % 7)
-        elif month is not None:
-            date = date.replace(year=now.year - (month > now.month), month=month, day=1)
-        elif clock is not None and clock.hour > now.hour:
-            date -= timedelta(days=1)
-    clock = clock or datetime.min.time()
-    local = datetime.combine(date, clock)
+    year, month, day = (given.get(x) for x in ("year", "month", "day"))
+    today = now.date()
+    if month is not None:
+        year = year or now.year - (day is None and month > now.month)
+        date = datetime(year, month, 1).date() + timedelta(days=(day or 1) - 1)
+    elif "weekday" in given:
+        date = today - timedelta(days=(now.weekday() - given["weekday"]) % 7)
+    else:
+        date = today - timedelta(days=int(given.get("hour", 0) > now.hour))
+    local = datetime(date.year, date.month, date.day, given.get("hour", 0), given.get("minute", 0), given.get("second", 0))
     moment = local.astimezone() if tz is None else local.replace(tzinfo=tz)
     return int(moment.timestamp())
 

@@ -2,22 +2,30 @@
 
 A staged table cuts the lineage: an executor that is lost later costs no more than
 reading the table again.  The folder is the one the cluster names in
-``spark.checkpoint.dir``; only where that is unset do we choose one ourselves, a
-temporary folder in local mode and a folder in the warehouse elsewhere.
+``spark.checkpoint.dir``; only where that is unset, and only in local mode, where all executors are
+on this machine, do we choose a temporary one ourselves.  On a cluster without the setting staging
+refuses to work, as no folder of a single machine would do.
+
+Staged tables go when the program ends, or as soon as the caller of ``staged_within`` is done.
 """
 
 from __future__ import annotations
 
 import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_PATHS: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,14 +34,14 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        if spark.sparkContext.master.startswith("local"):
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="flowloom-")
-        else:
-            _OWN[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="flowloom-")
+        atexit.register(shutil.rmtree, _OWN[app].removeprefix("file://"), True)
     return _OWN[app]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -47,10 +55,28 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/flowloom-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    _PATHS.append(path)
+    if len(_PATHS) == 1:
+        atexit.register(free, spark, 0)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession, upto: int) -> None:
+    """Remove the tables staged since there were ``upto`` of them."""
+    while len(_PATHS) > upto:
+        remove(spark, _PATHS.pop())
+
+
+@contextmanager
+def staged_within(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end; results have to be written or collected by then."""
+    before = len(_PATHS)
+    try:
+        yield
+    finally:
+        free(spark, before)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, however the driver found it."""
     app = spark.sparkContext.applicationId

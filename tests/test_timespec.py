@@ -26,6 +26,15 @@ def at(*args):
         ("Apr", at(2023, 4, 1)),
         ("10:45", at(2024, 3, 6, 10, 45)),
         ("11:00", at(2024, 3, 5, 11, 0)),
+        ("1700000000 10:30", at(2023, 11, 14, 10, 30, 20)),
+        ("10:30 1700000000", 1700000000),
+        ("Mon March", at(2024, 3, 1)),
+        ("2024-03-06 May", at(2024, 5, 6)),
+        ("May 2024-03-06", at(2024, 3, 6)),
+        ("2024-01-31 feb", at(2024, 3, 2)),
+        ("Mon 2024-03-06", at(2024, 3, 6)),
+        ("apr 10:45", at(2023, 4, 1, 10, 45)),
+        ("Mon Tue", at(2024, 3, 5)),
     ],
 )
 def test_words(text, want):
