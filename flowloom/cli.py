@@ -15,7 +15,7 @@ import sys
 import threading
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom import __version__
@@ -34,8 +34,15 @@ class _InOrder(argparse.Action):
         namespace.steps.append((self.dest, value))
 
 
+class _Parser(argparse.ArgumentParser):
+    """Bad options are errors like any other, so they end with status 1."""
+
+    def error(self, message: str) -> None:
+        raise ValueError(message)
+
+
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="flowloom", description="Query files of IP flow records.", allow_abbrev=True)
+    p = _Parser(prog="flowloom", description="Query files of IP flow records.", allow_abbrev=True)
     p.set_defaults(steps=[])
     p.add_argument("paths", nargs="+", metavar="path")
     p.add_argument("-a", "--aggregation", action=_InOrder)
@@ -110,6 +117,7 @@ def read(spark: SparkSession, paths: list[str], when: tuple[int, int] | None) ->
             plain.append(p)
     if plain:
         rows = store.read_paths(spark, plain)
+        store.warn_of_silent(spark, plain, rows)
         records.append(rows)
         headers.append(summary.counters(rows))
     join = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(join(dfs[1:]), allowMissingColumns=True)
@@ -124,17 +132,20 @@ class Progress(threading.Thread):
         self.tracker, self.kind, self.to, self.over = spark.sparkContext.statusTracker(), kind, to, threading.Event()
 
     def state(self) -> dict[str, int]:
+        """Percent of tasks done in all, and of each stage that runs."""
         done = whole = 0
+        each = {}
         for job in self.tracker.getActiveJobsIds():
             info = self.tracker.getJobInfo(job)
             for stage in info.stageIds if info else ():
                 s = self.tracker.getStageInfo(stage)
                 if s:
                     done, whole = done + s.numCompletedTasks, whole + s.numTasks
-        return {"total": 100 * done // whole if whole else 0}
+                    each[f"stage{stage}"] = 100 * s.numCompletedTasks // max(1, s.numTasks)
+        return {"total": 100 * done // whole if whole else 0} | (each if self.kind in ("perslave", "json") else {})
 
     def show(self, state: dict[str, int]) -> None:
-        text = json.dumps(state) if self.kind == "json" else f"reading records: {state['total']} %"
+        text = json.dumps(state) if self.kind == "json" else "reading records: " + ", ".join(f"{k} {v} %" for k, v in state.items())
         if self.to in ("stderr", "stdout"):
             print(text, file=getattr(sys, self.to), flush=True)
         else:
@@ -176,11 +187,13 @@ def run(spark: SparkSession, args, out=sys.stdout) -> None:
     if bar:
         bar.start()
     try:
+        # where the result needs all matching records anyway, they are summed up in the same pass
+        seen = Observation("processed") if {"r", "p"} <= set(items) and query.whole_input else None
         if "r" in items:
-            put(render.lines(query.run(records), query, style))
+            put(render.lines(query.run(records, seen), query, style))
         if "p" in items:
-            row = summary.processed(query.matching(records)).first()
-            put(render.processed_lines(row.flows, row.packets, row.bytes, time.time() - began, style))
+            sums = seen.get if seen else summary.processed(query.matching(records)).first().asDict()
+            put(render.processed_lines(sums["flows"], sums["packets"], sums["bytes"], time.time() - began, style))
         if "m" in items:
             put(render.metadata_lines(summary.metadata(headers).collect(), style))
     finally:
@@ -190,8 +203,12 @@ def run(spark: SparkSession, args, out=sys.stdout) -> None:
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
     log = logging.getLogger("flowloom")
+    try:
+        args = parser().parse_args(argv)
+    except ValueError as e:
+        log.error("%s", e)
+        return 1
     logging.basicConfig(level=[logging.CRITICAL, logging.ERROR, logging.WARNING, logging.INFO, logging.DEBUG][args.verbosity])
     try:
         for name, value in args.steps:

@@ -14,13 +14,14 @@ V4_SPAN = 2**32
 
 @dataclass(frozen=True)
 class Field:
-    """kind: time, volume, addr, number, bits or calc. how: min, max, sum, or, calc."""
+    """kind: time, volume, addr, mac, number, bits or calc. how: min, max, sum, or, calc."""
 
     name: str
     kind: str
     how: str
     descending: bool = False
     key: bool = True
+    sortable: bool = True
 
     @property
     def columns(self) -> tuple[str, ...]:
@@ -46,6 +47,8 @@ FIELDS = {
         Field("flags", "bits", "or"),
         Field("input", "number", "min"),
         Field("output", "number", "min"),
+        Field("insrcmac", "mac", "min", sortable=False),
+        Field("outdstmac", "mac", "min", sortable=False),
         Field("duration", "calc", "calc", True),
         Field("bps", "calc", "calc", True, key=False),
         Field("pps", "calc", "calc", True, key=False),

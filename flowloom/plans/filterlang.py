@@ -263,7 +263,9 @@ class Parser:
         if field.kind == "addr":
             raise FilterError(f"'{word}' needs an address in filter: {self.text!r}")
         op = self.operator()
-        parse = self.as_moment if field.kind == "time" else self.as_number
+        parse = {"time": self.as_moment, "mac": self.as_mac}.get(field.kind, self.as_number)
+        if field.kind == "mac" and op not in ("=", "!=", "in"):
+            raise FilterError(f"'{op}' does not compare hardware addresses in filter: {self.text!r}")
         if field.kind == "calc":
             if op == "in":
                 raise FilterError(f"'{word}' cannot be listed in filter: {self.text!r}")
@@ -294,6 +296,11 @@ class Parser:
         value *= SUFFIX.get(m[2], 1)
         return int(value) if value == int(value) else value
 
+    def as_mac(self, text: str) -> int:
+        if not re.fullmatch(r"(?i)[0-9a-f]{2}(:[0-9a-f]{2}){5}", text):
+            raise FilterError(f"'{text}' is no hardware address in filter: {self.text!r}")
+        return int(text.replace(":", ""), 16)
+
     def as_moment(self, text: str) -> int | float:
         """Milliseconds, or a UTC date with or without a time: 2024-03-06, 2024-03-06T10:15, 2024-03-06T10:15:30.250."""
         if not re.match(r"\d{4}-", text):

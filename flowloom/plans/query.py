@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowloom.functions import ip
@@ -105,6 +105,8 @@ class FlowQuery:
         """``field[#asc|desc]``; without a direction, the field's own."""
         name, mark, direction = text.strip().partition("#")
         spec = Spec.parse(name)
+        if not spec.field.sortable:
+            raise ValueError(f"'{spec.name}' cannot be sorted by")
         if mark and direction not in ("asc", "desc"):
             raise ValueError(f"unknown direction '{direction}'")
         return replace(self, order=spec.name, descending=direction == "desc" if mark else spec.field.descending)
@@ -153,18 +155,27 @@ class FlowQuery:
         """The records that pass the filter, as they are stored."""
         return flows.where(compile_filter(self.filter)) if self.filter.strip() else flows
 
-    def run(self, flows: DataFrame) -> DataFrame:
+    def run(self, flows: DataFrame, seen: Observation | None = None) -> DataFrame:
+        """The result's plan.  ``seen`` gets flows, packets and bytes of all matching records as the plan runs, see ``whole_input``."""
         types = dict(flows.dtypes)
         absent = [c for c in self._needed() if c not in types]
         if absent:
             raise ValueError(f"the records have no column {', '.join(absent)}")
         zeroed = [F.coalesce(F.col(c), F.lit(0).cast(types[c])).alias(c) for c in self._needed()]
-        rows = self.matching(flows).select(*zeroed)
+        matching = self.matching(flows)
+        if seen is not None:
+            matching = matching.observe(seen, *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in ("flows", "packets", "bytes")])
+        rows = matching.select(*zeroed)
         out = self._grouped(rows) if self.keys else self._listed(rows)
         if self.order:
             out = out.orderBy(*self._ordering())
         return out.limit(self.top) if self.top else out
 
+    @property
+    def whole_input(self) -> bool:
+        """Whether a result of bounded size needs all matching records, so that one pass can sum them up as well."""
+        return bool(self.top and (self.keys or self.order))
+
     def _calc(self, name: str, get=F.col) -> Column:
         return calculated(name, get, self.exact_bpp).alias(name)
 

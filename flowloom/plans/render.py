@@ -17,7 +17,7 @@ NOT_A_NUMBER, ABSENT = "NaN", "absent"
 PAD = "    "
 ELLIPSIS = "..."
 #: Widths of columns whose rows are not all known beforehand, by kind.
-WIDTHS = {"time": 23, "addr": 39, "volume": 10, "calc": 10, "number": 9, "bits": 8}
+WIDTHS = {"time": 23, "addr": 39, "mac": 17, "volume": 10, "calc": 10, "number": 9, "bits": 8}
 
 
 @dataclass(frozen=True)
@@ -68,6 +68,8 @@ def _shown(name: str, s: Style) -> Column:
         hi, lo = map(F.col, f.columns)
         return ip.text(hi, lo) if s.address == "str" else ip.words_text(hi, lo)
     c = F.col(name)
+    if f.kind == "mac":
+        return convert.mac_text(c)
     if f.kind == "time":
         return convert.timestamp_text(c, s.zone) if s.time == "pretty" else c.cast("string")
     if name == "duration":
@@ -118,20 +120,25 @@ def header(query: FlowQuery, rich: bool) -> list[str]:
 
 
 def lines(result: DataFrame, query: FlowQuery, s: Style) -> Iterator[str]:
-    names, titles = query.shown, header(query, s.rich)
-    rows = ([_text(v, n, s) for v, n in zip(r, names)] for r in shown(result, query, s).toLocalIterator())
+    """A result line by line: one with a limit is collected, any other comes a partition at a time."""
+    names, titles, out = query.shown, header(query, s.rich), shown(result, query, s)
+    rows = lambda: ([_text(v, n, s) for v, n in zip(r, names)] for r in (out.collect() if query.top else out.toLocalIterator()))
     if s.form == "csv":
         yield ",".join(titles)
-        for r in rows:
+        for r in rows():
             yield ",".join(r)
         return
     if s.ellipsize:
-        widths = [max(WIDTHS[FIELDS[n].kind], len(t)) for n, t in zip(names, titles)]
+        widths, found = [max(WIDTHS[FIELDS[n].kind], len(t)) for n, t in zip(names, titles)], rows()
     else:
-        rows = list(rows)  # exact widths need all rows; meant for results that are read by people
-        widths = [max([len(t), *(len(r[i]) for r in rows)]) for i, t in enumerate(titles)]
+        widths, found = [len(t) for t in titles], rows()
+        if query.top:
+            found = list(found)
+        for r in found:
+            widths = [max(w, len(x)) for w, x in zip(widths, r)]
+        found = found if query.top else rows()  # exact widths need all rows: those without a limit are read once more rather than kept
     yield _aligned(titles, titles, names, widths)
-    for r in rows:
+    for r in found:
         yield _aligned(r, titles, names, widths)
 
 

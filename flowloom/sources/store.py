@@ -24,10 +24,10 @@ from flowloom.sources.timespec import SLOT_SECONDS
 ADDRESS_COLUMNS = ("srcip_hi", "srcip_lo", "dstip_hi", "dstip_lo")
 
 SCHEMA = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("first", "last", "received", "bytes", "packets", "flows", *ADDRESS_COLUMNS)]
+    [T.StructField(n, T.LongType()) for n in ("first", "last", "received", "bytes", "packets", "outbytes", "outpackets", "flows", *ADDRESS_COLUMNS)]
     + [T.StructField("srcport", T.IntegerType()), T.StructField("dstport", T.IntegerType())]
     + [T.StructField("proto", T.ShortType()), T.StructField("flags", T.ShortType())]
-    + [T.StructField("input", T.LongType()), T.StructField("output", T.LongType())]
+    + [T.StructField(n, T.LongType()) for n in ("input", "output", "insrcmac", "outdstmac")]
 )
 
 
@@ -91,16 +91,13 @@ def expand(path: str) -> str | None:
     return "".join(out)
 
 
-def read_paths(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None, pattern: str = "{[!b],b[!f],bf[!i],bfi[!.]}*.parquet") -> DataFrame:
-    """All records of files and folders, folders with all they contain; a path given twice counts twice.
+#: Names of files in folders but those that begin with ``bfi.``, as a pattern of Hadoop.
+NO_INDEX = "{[!b]*,b,b[!f]*,bf,bf[!i]*,bfi,bfi[!.]*}"
 
-    Missing paths give a warning and are left out, as are corrupt files.  Names that begin with
-    ``.`` or ``_`` are skipped by Spark, names that begin with ``bfi.`` (index files) by the pattern.
-    """
-    if not paths:
-        raise ValueError("at least one path is needed")
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+def _found(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, bool]]:
+    """The paths there are, each with whether it is a folder; a warning for any other."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     found = []
     for p in filter(None, map(expand, paths)):
         where = jvm.org.apache.hadoop.fs.Path(p)
@@ -108,11 +105,24 @@ def read_paths(spark: SparkSession, paths: Sequence[str], schema: T.StructType |
         if fs.exists(where):
             found.append((p, fs.getFileStatus(where).isDirectory()))
         else:
-            warnings.warn(f"path '{p}' does not exist; it is left out", stacklevel=2)
+            warnings.warn(f"path '{p}' does not exist; it is left out", stacklevel=3)
+    return found
+
+
+def read_paths(spark: SparkSession, paths: Sequence[str], schema: T.StructType = SCHEMA, pattern: str = NO_INDEX) -> DataFrame:
+    """All records of files and folders, folders with all they contain; a path given twice counts twice.
+
+    Columns are those of the schema, null where a file lacks them; no footer is read to find out.
+    Missing paths give a warning and are left out.  Files of any name are read but those that
+    begin with ``bfi.`` (index files), by the pattern, and with ``.`` or ``_``, by Spark.  Corrupt files are left
+    out; ``warn_of_silent`` names them.
+    """
+    if not paths:
+        raise ValueError("at least one path is needed")
+    found = _found(spark, paths)
     if not found:
-        return spark.createDataFrame([], schema or SCHEMA)
-    reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    reader = reader.schema(schema) if schema else reader.option("mergeSchema", "true")
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     parts = []
     files, folders = [p for p, d in found if not d], [p for p, d in found if d]
     if files:
@@ -120,3 +130,28 @@ def read_paths(spark: SparkSession, paths: Sequence[str], schema: T.StructType |
     if folders:
         parts.append(reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).parquet(*folders))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
+def silent_files(rows: DataFrame) -> list[str]:
+    """Files of a DataFrame of ``read_paths`` that give no record: corrupt, or empty.  Tasks count records, which Parquet's footers tell."""
+    names = set(rows.inputFiles())
+    told = rows.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    spark = rows.sparkSession
+    listed = spark.createDataFrame([(n,) for n in sorted(names)], "file string")
+    return sorted(r.file for r in listed.join(told, "file", "left_anti").collect())
+
+
+def warn_of_silent(spark: SparkSession, paths: Sequence[str], rows: DataFrame) -> list[str]:
+    """Warn of files without a record, and of those in folders whose names Spark does not read."""
+    silent = silent_files(rows)
+    for name in silent:
+        warnings.warn(f"file '{name}' is corrupt or empty; it is left out", stacklevel=2)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in filter(None, map(expand, paths)):
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        fs = where.getFileSystem(conf)
+        if fs.exists(where) and fs.getFileStatus(where).isDirectory():
+            for x in fs.globStatus(jvm.org.apache.hadoop.fs.Path(where, "{,*/,*/*/}_*.parquet")) or []:
+                warnings.warn(f"file '{x.getPath()}' begins with an underscore; it is left out", stacklevel=2)
+                silent.append(str(x.getPath()))
+    return silent

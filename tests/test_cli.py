@@ -63,6 +63,26 @@ def test_errors(spark, made, argv):
     assert cli.main([*argv, "--progress-bar-type=none", f"{made}/plain"]) == 1
 
 
+@pytest.mark.parametrize("argv", [["--nosuch"], ["--output-format=x"], ["-v", "9"], ["--num-threads", "x"], []])
+def test_bad_options_end_with_status_1(made, argv):
+    assert cli.main([*argv, f"{made}/plain"] if argv else []) == 1
+
+
+def test_a_top_list_and_its_summary_take_one_pass(spark, made):
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("once"))
+    spark.sparkContext.setJobGroup("once", "")
+    got = run(spark, "-s", "proto", "--output-fields=flows", "--output-format=csv", "--output-items=r,p", "-f", "packets > 0", f"{made}/store")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got[0] == "proto,flows" and got[-1].startswith("1544,")
+    two = run(spark, "-a", "proto", "--output-fields=flows", "--output-format=csv", "--output-items=r,p", "-f", "packets > 0", f"{made}/store")
+    assert two[-1].rsplit(",", 2)[0] == got[-1].rsplit(",", 2)[0] and sorted(two[:4]) == sorted(got[:4]) and jobs() >= 1
+
+
+def test_exact_widths_without_a_limit(spark, made):
+    got = run(spark, "-a", "proto", "--output-fields=flows", "--output-no-ellipsize", "--output-items=r", f"{made}/plain")
+    assert len(got) == 4 and len({len(x) for x in got}) == 1
+
+
 def test_progress(spark, tmp_path):
     bar = cli.Progress(spark, "json", str(tmp_path / "p"))
     bar.start()
@@ -70,3 +90,6 @@ def test_progress(spark, tmp_path):
     bar.over.set()
     bar.join()
     assert json.loads((tmp_path / "p").read_text()) == {"total": 100}
+    bar = cli.Progress(spark, "perslave", str(tmp_path / "q"))
+    bar.show({"total": 40, "stage3": 40})
+    assert (tmp_path / "q").read_text() == "reading records: total 40 %, stage3 40 %\n"

@@ -56,11 +56,18 @@ def test_paths(spark, tmp_path):
     (tmp_path / "a" / "bfi.x.parquet").write_text("an index")
     (tmp_path / "a" / "broken.parquet").write_text("no parquet")
     (tmp_path / "a" / ".hidden.parquet").write_text("no parquet")
+    (tmp_path / "a" / "notes").write_text("no parquet either")
+    part = next((tmp_path / "c").glob("part*")).read_bytes()
+    for odd in ("b.parquet", "bf.parquet", "bfi.parquet", "bfi", "flows.0", "_kept.parquet"):
+        (tmp_path / "a" / odd).write_bytes(part)
     with warnings.catch_warnings(record=True) as caught:
         warnings.simplefilter("always")
         rows = store.read_paths(spark, [str(tmp_path / "a"), str(tmp_path / "none")], store.SCHEMA)
-        assert rows.count() == 20 and any("none" in str(w.message) for w in caught)
-    assert store.read_paths(spark, [str(tmp_path / "a"), str(tmp_path / "c"), str(next((tmp_path / "c").glob("part*")))], store.SCHEMA).count() == 40
+        assert rows.count() == 60 and any("none" in str(w.message) for w in caught)
+        silent = store.warn_of_silent(spark, [str(tmp_path / "a"), str(tmp_path / "none")], rows)
+        assert {s.rsplit("/", 1)[1] for s in silent} == {"broken.parquet", "notes", "_kept.parquet"}
+        assert sum("corrupt" in str(w.message) for w in caught) == 2 and sum("underscore" in str(w.message) for w in caught) == 1
+    assert store.read_paths(spark, [str(tmp_path / "a"), str(tmp_path / "c"), str(next((tmp_path / "c").glob("part*")))], store.SCHEMA).count() == 80
     assert store.read_paths(spark, [str(tmp_path / "none")]).count() == 0
     with pytest.raises(ValueError):
         store.read_paths(spark, [])
