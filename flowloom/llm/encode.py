@@ -40,11 +40,11 @@ BLOCK_IDS = 1 << 20
 
 
 def _partitions(blocks: DataFrame, size: Column) -> int:
-    """As many as the size summed over the blocks fills at the advisory size, but all cores at least."""
+    """As many as the size summed over the blocks fills at half the advisory size, as blocks fall unevenly, but all cores at least."""
     spark = blocks.sparkSession
     advised = spark._jsparkSession.sessionState().conf().getConfString("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
     each = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(advised)
-    return max(spark.sparkContext.defaultParallelism, math.ceil((blocks.agg(F.sum(size)).first()[0] or 0) / each))
+    return max(spark.sparkContext.defaultParallelism, math.ceil(2 * (blocks.agg(F.sum(size)).first()[0] or 0) / each))
 
 
 def _packed(codes: np.ndarray) -> bytes:

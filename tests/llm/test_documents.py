@@ -306,10 +306,10 @@ def test_partitions_follow_the_size(spark):
     from flowloom.llm.encode import _partitions
 
     df = spark.range(10).select((F.col("id") * 0 + (64 << 20)).alias("b"))
-    assert _partitions(df, F.col("b")) == 10 and _partitions(df.limit(0), F.col("b")) == spark.sparkContext.defaultParallelism
+    assert _partitions(df, F.col("b")) == 20 and _partitions(df.limit(0), F.col("b")) == spark.sparkContext.defaultParallelism
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m")
     try:
-        assert _partitions(df, F.col("b")) == 80
+        assert _partitions(df, F.col("b")) == 160
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
