@@ -49,7 +49,7 @@ def plan(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """
     named = targets.select("source", normal(F.col("source")).alias("key"), F.col("weight").cast("double").alias("weight"), F.col("max_repeats").cast("bigint").alias("max_repeats"))
     supply = documents.groupBy(F.col("source").alias("key")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"))
-    joined = stage(named.join(supply, "key", "left").na.fill(0, ["documents", "tokens"]), "mixsupply")
+    joined = named.join(supply, "key", "left").na.fill(0, ["documents", "tokens"])
     whole = joined.withColumn("total", F.coalesce(joined.agg(F.sum("tokens")).scalar(), F.lit(0)))
     target = F.col("weight") * F.col("total")
     epochs = F.least(F.col("max_repeats"), F.coalesce(F.floor(F.try_divide(target, F.col("tokens"))), F.col("max_repeats")))
@@ -73,7 +73,6 @@ def _cuts(drawn: DataFrame, planned: DataFrame, few: bool) -> DataFrame:
     state = planned.where("remainder > 0").select(
         F.col("key").alias("source"), "remainder", F.lit(0).cast("long").alias("lo"), F.lit(KEYS).cast("long").alias("hi"), F.lit(0).cast("long").alias("before"), F.col("documents").alias("n")
     )
-    state = stage(state, "mixcuts")
     wide = (F.col("n") > ORDERED) & (F.col("hi") > F.col("lo"))
     while state.where(wide).head(1):  # each round divides a range by BINS: at most five
         ranged = state.where(wide).withColumn("width", F.call_function("div", F.col("hi") - F.col("lo"), F.lit(BINS).cast("long")) + 1)
@@ -111,8 +110,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFr
     place = F.floor((F.log("draw") - LOG_LOW) / LOG_SPAN * float(KEYS))
     drawn = documents.select("doc_id", "source", "n_tokens", (-F.log(u) / weight).alias("draw")).withColumn("place", F.least(F.greatest(place, F.lit(0)), F.lit(KEYS)).cast("long"))
     cuts = _cuts(drawn, planned, few)
-    state = stage(planned.select(F.col("key").alias("source"), "epochs", "remainder").join(cuts, "source", "left"), "mixstate")
-    placed = _with_source(drawn, state, few)
+    placed = _with_source(drawn, planned.select(F.col("key").alias("source"), "epochs", "remainder").join(cuts, "source", "left"), few)
     edge = Window.partitionBy("source").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     at_edge = F.coalesce(F.col("place").between(F.col("lo"), F.col("hi")), F.lit(False))
     cut = placed.where(at_edge).withColumn("upto", F.col("before") + F.sum("n_tokens").over(edge)).withColumn("chosen", F.col("upto") <= F.col("remainder"))
