@@ -49,19 +49,19 @@ def found(spark, made, name):
 
 
 def test_windows_are_ten_minutes(spark, made):
-    rows = found(spark, made, "window_topn_10min")
+    rows = found(spark, made, "window_topn")
     assert {x.window for x in rows} == set(range(72)) and max(x["rank"] for x in rows) == 5
 
 
 def test_flood_within_ten_minutes(spark, made):
-    assert [(x.window, x.srcip_lo, x.dstip_lo, x.flows, x.syn_packets, x.ack_packets) for x in found(spark, made, "detect_syn_flood_10min")] == [(5, 1, 2, 150_000, 150_000, 0)]
+    assert [(x.window, x.srcip_lo, x.dstip_lo, x.flows, x.syn_packets, x.ack_packets) for x in found(spark, made, "detect_syn_flood")] == [(5, 1, 2, 150_000, 150_000, 0)]
 
 
 def test_amplification_within_ten_minutes(spark, made):
     """The steady source is the first of its victim's list and counts 50; sizes that change all the time are no attack."""
-    assert [(x.window, x.dstip_lo, x.reliability) for x in found(spark, made, "detect_amplification_10min")] == [(7, 12, 50)]
+    assert [(x.window, x.dstip_lo, x.reliability) for x in found(spark, made, "detect_amplification")] == [(7, 12, 50)]
 
 
 def test_sizes_over_five_hundred_records(spark, made):
-    rows = found(spark, made, "msg_size_stability_10min")
+    rows = found(spark, made, "msg_size_stability")
     assert {(x.window, x.srcip_lo, x.dstip_lo) for x in rows if x.steady} == {(7, 11, 12)} and len(rows) == 72 * 5 + 3
