@@ -128,6 +128,19 @@ def volume_text(value: Column, how: str = "metric-prefix") -> Column:
     return _volume_udf(units, by)(value.cast("double"))
 
 
+@F.pandas_udf(T.StringType())
+def _one_decimal(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in parts:
+        yield pd.Series([None if pd.isna(v) else f"{v:.1f}" for v in s], dtype=object)
+
+
+def decimal_text(value: Column) -> Column:
+    """A double with one decimal, rounded as C does."""
+    ship(SparkSession.active())
+    return _one_decimal(value)
+
+
 def mac_text(mac: Column) -> Column:
     """Six bytes of a bigint as %02x joined by colons."""
-    return F.concat_ws(":", *[F.lower(F.lpad(F.hex(F.shiftrightunsigned(mac, by).bitwiseAND(F.lit(255))), 2, "0")) for by in (40, 32, 24, 16, 8, 0)])
+    joined = F.concat_ws(":", *[F.lower(F.lpad(F.hex(F.shiftrightunsigned(mac, by).bitwiseAND(F.lit(255))), 2, "0")) for by in (40, 32, 24, 16, 8, 0)])
+    return F.when(mac.isNotNull(), joined)

@@ -100,6 +100,19 @@ def _text(value, name: str, s: Style) -> str:
     return str(value)
 
 
+def csv_lines(result: DataFrame, query: FlowQuery, s: Style) -> DataFrame:
+    """The lines of a result as CSV, without the header, made where the rows are: for results that no single machine should print."""
+    types = dict(result.dtypes)
+
+    def cell(name: str) -> Column:
+        kind, c = FIELDS[name].kind, _shown(name, s)
+        if kind in ("volume", "calc") and name != "duration":
+            c = convert.volume_text(c, s.volume) if s.volume != "none" else convert.decimal_text(c) if types[name] == "double" else c
+        return F.coalesce(c.cast("string"), F.lit(NOT_A_NUMBER if kind == "calc" else ABSENT))
+
+    return result.select(F.concat_ws(",", *[cell(n) for n in query.shown]).alias("line"))
+
+
 def header(query: FlowQuery, rich: bool) -> list[str]:
     """Field names; rich ones of sorted or aggregated results tell keys, functions and the order."""
     if not rich or not (query.keys or query.order):

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import socket
 import warnings
+from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,7 +93,8 @@ def expand(path: str) -> str | None:
     return "".join(out)
 
 
-#: Names of files in folders but those that begin with ``bfi.``, as a pattern of Hadoop.
+#: FAULTS: what a reader overlooks.  NO_INDEX: names of files in folders but those that begin with ``bfi.``, as a pattern of Hadoop.
+FAULTS = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
 NO_INDEX = "{[!b]*,b,b[!f]*,bf,bf[!i]*,bfi,bfi[!.]*}"
 
 
@@ -122,14 +125,18 @@ def read_paths(spark: SparkSession, paths: Sequence[str], schema: T.StructType =
     found = _found(spark, paths)
     if not found:
         return spark.createDataFrame([], schema)
-    reader = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    parts = []
-    files, folders = [p for p, d in found if not d], [p for p, d in found if d]
-    if files:
-        parts.append(reader.parquet(*files))
-    if folders:
-        parts.append(reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).parquet(*folders))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    # a reader takes each path once, so repeated ones need a reader each time they come
+    rounds: dict[tuple[int, bool], list[str]] = {}
+    seen: Counter = Counter()
+    for p, is_folder in found:
+        name = str(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p))
+        rounds.setdefault((seen[name], is_folder), []).append(p)
+        seen[name] += 1
+    parts = [
+        (spark.read.schema(schema).options(**FAULTS).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern) if is_folder else spark.read.schema(schema).options(**FAULTS)).parquet(*own)
+        for (_, is_folder), own in rounds.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def silent_files(rows: DataFrame) -> list[str]:

@@ -50,14 +50,20 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return it as a scan of what was written."""
-    spark = df.sparkSession
+def own_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed like a staged table."""
     path = f"{shared_folder(spark)}/flowloom-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     _PATHS.append(path)
     if len(_PATHS) == 1:
         atexit.register(free, spark, 0)
+    return path
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once and return it as a scan of what was written."""
+    spark = df.sparkSession
+    path = own_folder(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,10 +2,11 @@ import pytest
 from oracle import both
 
 from flowloom.operators import queries as general
-from flowloom.plans import flow_queries
+from flowloom.plans import flow_queries, text_queries
+from flowloom.sources import queries as sources
 from flowloom.streaming import queries as streams
 
-MODULES = [general, flow_queries, streams]
+MODULES = [general, flow_queries, text_queries, sources, streams]
 CASES = [(name, m) for m in MODULES for name in m.oracle_sql()]
 
 

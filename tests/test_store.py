@@ -68,6 +68,7 @@ def test_paths(spark, tmp_path):
         assert {s.rsplit("/", 1)[1] for s in silent} == {"broken.parquet", "notes", "_kept.parquet"}
         assert sum("corrupt" in str(w.message) for w in caught) == 2 and sum("underscore" in str(w.message) for w in caught) == 1
     assert store.read_paths(spark, [str(tmp_path / "a"), str(tmp_path / "c"), str(next((tmp_path / "c").glob("part*")))], store.SCHEMA).count() == 80
+    assert store.read_paths(spark, [str(tmp_path / "c"), str(tmp_path / "c"), f"{tmp_path}/c/"]).count() == 30
     assert store.read_paths(spark, [str(tmp_path / "none")]).count() == 0
     with pytest.raises(ValueError):
         store.read_paths(spark, [])
