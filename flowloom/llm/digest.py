@@ -3,15 +3,15 @@
 A digest of a group is a short list of centroids (mean, weight, lo, hi): values sorted and
 clustered so that a cluster spans at most one unit of k(q) = delta * (asin(2q - 1) / pi + 1/2)
 of the quantiles q it covers, so clusters are small at both tails and at most ``delta`` in all.
-Digests merge by sorting their centroids together and clustering again; a cluster then spans
-at most two units.  A task folds its rows in, some hundred thousand at a time, for all groups at
+Digests merge by sorting their centroids together and clustering again.  A task folds its rows in, some hundred thousand at a time, for all groups at
 once with array operations.  It keeps the digests of the groups it has met while they have no more than
 KEPT_ROWS centroids in all, and sends them on as partial ones beyond that; merging takes the centroids
 sorted by group and sends on every group that is complete.  So a task's memory does not grow
 with the number of groups.
 
-What a digest says is an estimate; ``certify`` counts, in a second pass over the rows, how
-many values lie below it and so how far its rank is off.
+What a digest says is an estimate, between a lower and an upper bound that hold however often digests were
+merged, as every cluster knows its smallest and largest value.  ``certify`` counts, in a second
+pass over the rows, how many values lie below the estimate and so how far its rank is off.
 """
 
 from __future__ import annotations
@@ -35,9 +35,13 @@ KEPT_ROWS = 1 << 19
 BROADCAST_GROUPS = 100_000
 
 
-def rank_error(delta: int = DELTA) -> float:
-    """Largest rank error of an estimate as a share of the group: two units of k at the median, where clusters are largest."""
-    return math.pi / delta
+def rank_error(delta: int = DELTA, merges: int = 1) -> float:
+    """Rank error of an estimate, as a share of the group, that is not to be exceeded after so many merges, one on top of the other.
+
+    A unit of k is pi / (2 delta) of the ranks at the median, where clusters are largest.  Clusters of rows
+    span one; each merge joins clusters that overlap in value, which adds a cluster's width.
+    """
+    return (merges + 1) * math.pi / (2 * delta)
 
 
 def _codes(groups: pa.Table) -> np.ndarray:
@@ -159,26 +163,37 @@ def merge(parts: DataFrame, groups: Sequence[str], delta: int = DELTA) -> DataFr
     return own.mapInArrow(lambda bs: _folded(bs, lambda t: t, names, delta, True), _schema(parts, names, False))
 
 
-def quantile(merged: DataFrame, groups: Sequence[str], q: float | Sequence[float], delta: int = DELTA) -> DataFrame:
-    """groups, q, n, estimate, upper: the q-quantile and a value that is not below it.
+def quantile(merged: DataFrame, groups: Sequence[str], q: float | Sequence[float]) -> DataFrame:
+    """groups, q, n, estimate, lower, upper: the q-quantile, and values that are not above and not below it.
 
-    The quantile is the smallest value that at least the share q does not exceed.  ``upper``
-    is the largest value of the cluster that lies ``rank_error`` further up.
+    The quantile is the smallest value that at least the share q does not exceed.  The clusters whose
+    largest values are at most x hold no more values than there are up to x, so x is ``upper`` where they
+    hold as many as the rank; ``lower`` is the same from above.
     """
-    w = Window.partitionBy(*groups).orderBy("mean", "lo", "hi", "weight")
-    n = F.sum("weight").over(Window.partitionBy(*groups))
-    ranked = merged.select(*groups, "weight", "lo", "hi", n.alias("n"), F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    whole = Window.partitionBy(*groups)
+    upto = lambda *order: F.sum("weight").over(whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = merged.select(
+        *groups,
+        "weight",
+        "lo",
+        "hi",
+        F.sum("weight").over(whole).alias("n"),
+        upto("mean", "lo", "hi", "weight").alias("upto"),
+        upto("hi", "weight").alias("ended"),
+        upto(F.desc("lo"), "weight").alias("begun"),
+    )
     qs = [q] if isinstance(q, float) else list(q)
     asked = ranked.withColumn("q", F.explode(F.array(*map(F.lit, qs))))
     rank = F.greatest(F.ceil(F.col("q") * F.col("n")), F.lit(1))
-    far = F.least(F.ceil((F.col("q") + rank_error(delta)) * F.col("n")) + 1, F.col("n"))
-    within = lambda r: (F.col("upto") >= r) & (F.col("upto") - F.col("weight") < r)
+    within = (F.col("upto") >= rank) & (F.col("upto") - F.col("weight") < rank)
     at = F.col("lo") + (F.col("hi") - F.col("lo")) * (rank - F.col("upto") + F.col("weight") - 0.5) / F.col("weight")
-    return asked.groupBy(*groups, "q").agg(
+    found = asked.groupBy(*groups, "q").agg(
         F.first("n").alias("n"),
-        F.max(F.when(within(rank), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(at))).alias("estimate"),
-        F.max(F.when(F.col("upto") - F.col("weight") < far, F.col("hi"))).alias("upper"),
+        F.max(F.when(within, F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(at))).alias("estimate"),
+        F.max(F.when(F.col("begun") >= F.col("n") - rank + 1, F.col("lo"))).alias("lower"),
+        F.min(F.when(F.col("ended") >= rank, F.col("hi"))).alias("upper"),
     )
+    return found.withColumn("estimate", F.greatest(F.least("estimate", "upper"), "lower"))
 
 
 def certify(rows: DataFrame, estimates: DataFrame, groups: Sequence[str], measures: Sequence[str], probe: Column | None = None) -> DataFrame:

@@ -123,8 +123,8 @@ def p4_srcip_combinations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _close(estimated: str, exact: str) -> Column:
-    """Within four standard errors, or one value where that is more."""
-    return F.abs(F.col(estimated) - F.col(exact)) <= F.greatest(F.lit(1.0), 4 * F.col("standard_error") * F.col(exact))
+    """Within four standard errors or, where that is more, two values: small counts are off by whole values that share a register."""
+    return F.abs(F.col(estimated) - F.col(exact)) <= F.greatest(F.lit(2.0), 4 * F.col("standard_error") * F.col(exact))
 
 
 def p4_counts_hold(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,7 +165,8 @@ def _measured(spark: SparkSession, sf: str, where: str = "true") -> DataFrame:
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Groups whose median may reach the limit by their digests, settled by the counting pass.
 
-    The median is at least the limit exactly where fewer than half of the values lie below it.
+    The upper bound of a median is never below it, and it is at least the limit exactly where fewer
+    than half of the values lie below that.
     """
     rows = _measured(spark, sf, "day is not null and proto is not null")
     own = [*DIGEST_GROUPS, "field"]
@@ -200,7 +201,7 @@ def p6_ranks_hold(spark: SparkSession, sf: str) -> DataFrame:
 def p6_weekly_holds(spark: SparkSession, sf: str) -> DataFrame:
     """The same of p6_weekly, whose digests were merged over days."""
     counted = digest.certify(_measured(spark, sf), stage(p6_weekly(spark, sf), "weekly"), ["proto"], MEASURES)
-    return counted.select("proto", "field", F.col("n_exact").alias("n"), (F.col("rank_error") <= digest.rank_error()).alias("holds"))
+    return counted.select("proto", "field", F.col("n_exact").alias("n"), (F.col("rank_error") <= digest.rank_error(merges=2)).alias("holds"))
 
 
 # ---- top N

@@ -147,7 +147,7 @@ def test_certified_ranks_within_bound(spark):
         assert x.rank_error <= digest.rank_error()
     for x in quantiles.collect():
         own = sorted(values[x.g, x.field])
-        assert x.upper >= own[max(math.ceil(x.q * len(own)), 1) - 1]
+        assert x.lower <= own[max(math.ceil(x.q * len(own)), 1) - 1] <= x.upper and x.lower <= x.estimate <= x.upper
 
 
 def test_salted_counting_agrees(spark, monkeypatch):
@@ -239,6 +239,24 @@ def test_tasks_send_digests_on_when_they_have_many(monkeypatch):
     assert counts == Counter(x[:2] for x in rows)
 
 
+@pytest.mark.parametrize("order", ["random", "sorted"])
+def test_bounds_hold_after_many_merges(spark, order):
+    r = random.Random(12)
+    values = [r.choice([0.0, r.expovariate(0.01), r.gauss(500, 20)]) for _ in range(20_000)]
+    if order == "sorted":
+        values.sort()
+    df = spark.createDataFrame([(i * 16 // len(values), v) for i, v in enumerate(values)], "part int, v double").repartitionByRange(16, "part")
+    parts = digest.merge(digest.digests(df, ["part"], ["v"], 50), ["part", "field"], 50)
+    for by in (8, 4, 2, 1):  # binary merging, four more times
+        parts = digest.merge(parts.withColumn("part", (F.col("part") % by).cast("int")), ["part", "field"], 50)
+    values.sort()
+    for x in digest.quantile(parts, ["part", "field"], [0.01, 0.25, 0.5, 0.9, 0.999]).collect():
+        rank = max(math.ceil(x.q * len(values)), 1)
+        assert x.n == len(values) and x.lower <= values[rank - 1] <= x.upper
+        below, upto = sum(v < x.estimate for v in values), sum(v <= x.estimate for v in values)
+        assert max(below + 1 - rank, rank - upto, 0) / len(values) <= digest.rank_error(50, 5)
+
+
 def test_salts_spread_equal_values(spark, monkeypatch):
     monkeypatch.setattr(digest, "BROADCAST_GROUPS", 0)
     df = spark.range(64_000).select(F.lit(1).alias("g"), F.lit(0).alias("v"))
