@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,33 @@ PAIR = ("srcip_hi", "srcip_lo", "dstip_hi", "dstip_lo")
 MEASURES = ("bytes", "packets", "duration")
 
 
+LATENESS_MS = 21_600_000
+
+
 def _sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """All records as one delivery, after which the watermark is at the end of all input: however late a record came, it counts, and all sessions are closed."""
     rows = flow_records(spark, sf).where(present("srcip"))
-    return sessions.sessionize(rows, ("srcip_hi", "srcip_lo"), "first", "duration", SESSION_GAP_MS, identity=("flow_id",))
+    return sessions.advance(None, rows, PAIR[:2], "first", "duration", SESSION_GAP_MS, closed_before=None, watermark=None, identity=("flow_id",))[0]
+
+
+def p1_deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions from deliveries of a day each, a record counting if it is not over six hours later than the latest start before its delivery.
+
+    Open sessions are carried from one delivery to the next as a table.
+    """
+    rows = flow_records(spark, sf).where(present("srcip") & F.col("first").isNotNull())
+    day = F.call_function("div", F.min("received"), F.lit(86_400_000).cast("long"))
+    rows = stage(rows.groupBy("flow_id", *PAIR[:2], "first", "duration").agg(day.alias("delivery")), "deliveries")
+    marks = {r.delivery: r.latest - LATENESS_MS for r in rows.groupBy("delivery").agg(F.max("first").alias("latest")).collect()}  # one row a day
+    state, before, out = None, None, []
+    for delivery in sorted(marks):
+        mark = marks[delivery] if before is None else max(before, marks[delivery])
+        whole, _ = sessions.advance(state, rows.where(F.col("delivery") == delivery), PAIR[:2], "first", "duration", SESSION_GAP_MS, before, None)
+        whole = stage(whole, "sessions")
+        closed = F.col("session_end") + SESSION_GAP_MS <= mark
+        out.append(whole.where(closed))
+        state, before = whole.where(~closed), mark
+    return reduce(DataFrame.unionByName, [*out, state]) if out else sessions.sessionize(rows, PAIR[:2], "first", "duration", SESSION_GAP_MS)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +93,7 @@ def p5_per_pair(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_sessions, p3_found, p3_periods, p5_found, p5_hot_pairs, p5_per_srcip, p5_per_dstip, p5_per_pair)}
+    return {f.__name__: f for f in (p1_found, p1_sessions, p1_deliveries, p3_found, p3_periods, p5_found, p5_hot_pairs, p5_per_srcip, p5_per_dstip, p5_per_pair)}
 
 
 _HERE = "({x}_hi is not null and {x}_lo is not null and ({x}_hi <> 0 or {x}_lo <> 0))"
@@ -82,6 +108,17 @@ x as (select srcip_hi, srcip_lo, min(s) as session_start, max(e) as session_end,
       from n group by srcip_hi, srcip_lo, no)
 """
 _PAIR = ", ".join(PAIR)
+
+
+def in_time(lateness_ms: int) -> str:
+    """Rows of flow_records with a start and a srcip, but for those that start no later than the watermark left by the deliveries (days of arrival) before theirs."""
+    return (
+        f"(select t.* from (select *, received // 86400000 as delivery from flow_records where {_SRC} and first is not null) t join "
+        f"(select delivery, max(max(first)) over (order by delivery rows between unbounded preceding and 1 preceding) - {lateness_ms} as mark from "
+        f"(select received // 86400000 as delivery, first from flow_records where {_SRC} and first is not null) group by delivery) m using (delivery) where mark is null or first > mark)"
+    )
+
+
 _PERIODS = f"""
 with f as (select distinct {_PAIR}, first as s, first + greatest(coalesce(duration, 0), 0) as e from flow_records where {_SRC} and {_DST} and first is not null),
 r as (select *, max(e) over (partition by {_PAIR} order by s, e rows between unbounded preceding and 1 preceding) as reach from f),
@@ -108,6 +145,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _SESSIONS + "select srcip_hi, srcip_lo, session_start, session_end from x where events >= 2",
         "p1_sessions": _SESSIONS + "select * from x",
+        "p1_deliveries": _SESSIONS.replace("from flow_records where", f"from {in_time(LATENESS_MS)} where") + "select * from x",
         "p3_found": _PERIODS + f"select {_PAIR}, reach as gap_start, s as gap_end from n where s - reach > 60000 and s - reach <= 21600000",
         "p3_periods": _PERIODS
         + f"select {_PAIR}, min(s) as period_start, max(e) as period_end, max(e) - min(s) as period_duration from n group by {_PAIR}, no",

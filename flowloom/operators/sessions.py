@@ -110,16 +110,16 @@ def advance(
     """(closed, open) sessions once ``events`` have come on top of ``state``, the open sessions so far.
 
     ``closed_before`` is the watermark of the delivery before (null at the first): events that
-    start before it are too late and left out, all others count however late they are.
-    ``watermark`` is the one after this delivery; a session is closed once its end and the gap
-    lie before it, as no event that still counts can touch it.  With a null watermark, the end of all
+    start no later are too late and left out, all others count however late they are.
+    ``watermark`` is the one after this delivery; a session is closed once it is not before the
+    session's end and the gap, as no event that still counts can touch that.  With a null watermark, the end of all
     input, everything is closed.  Over all deliveries, the closed sessions are those ``sessionize``
     finds in the events that were not too late.  Copies are told within one delivery only.
 
     Both results are read from the same merge: stage it, or the state, if both are used.
     """
     if closed_before is not None:
-        events = events.where(F.col(start) >= closed_before)
+        events = events.where(F.col(start) > closed_before)
     found, k = _by_shard(events, keys, start, duration, gap_ms, identity, shard_ms)
     if state is not None:
         found = found.unionByName(
@@ -128,5 +128,5 @@ def advance(
     whole = _shown(_merged(found, k, gap_ms), keys, k)
     if watermark is None:
         return whole, whole.where(F.lit(False))
-    past = F.coalesce(F.try_add("session_end", F.lit(gap_ms)) < watermark, F.lit(False))
+    past = F.coalesce(F.try_add("session_end", F.lit(gap_ms)) <= watermark, F.lit(False))
     return whole.where(past), whole.where(~past)

@@ -65,9 +65,9 @@ def test_far_starts_stay_apart(spark):
 def test_deliveries_with_late_events(spark):
     keys, gap, lateness = ["k"], 10, 100
     deliveries = [
-        [("a", 1, 0, 0), ("a", 2, 20, 0), ("b", 3, 150, 5)],
-        [("a", 4, 10, 0), ("a", 5, 49, 0), ("a", 6, 300, 0)],  # 10 is late: it bridges 0 and 20; 49 is early enough not to be lost
-        [("a", 7, 150, 0), ("a", 8, 205, 0), ("b", 9, 160, 1)],  # 150 and 160 lie before 200: too late
+        [("a", 1, 30, 0), ("a", 2, 50, 0), ("b", 3, 130, 5)],
+        [("a", 4, 40, 0), ("a", 5, 31, 0), ("a", 6, 300, 0)],  # 40 is late and bridges 30 and 50; 31 lies just behind the mark
+        [("a", 7, 150, 0), ("a", 8, 201, 0), ("b", 9, 160, 1), ("a", 10, 200, 0)],  # all but 201 are not behind 200: too late
     ]
     state, before, top, out = None, None, None, []
     for d in deliveries:
@@ -78,9 +78,9 @@ def test_deliveries_with_late_events(spark):
         state = spark.createDataFrame(state.collect(), state.schema)
         before = top - lateness
     out += advance(state, df.limit(0), keys, "s", "d", gap, before, None)[0].collect()
-    kept = [r for i, d in enumerate(deliveries) for r in d if i < 2 or r[2] >= 200]
+    kept = [r for i, d in enumerate(deliveries) for r in d if i < 2 or r[2] > 200]
     assert sorted(map(tuple, out)) == expected(kept, gap)
-    assert ("a", 0, 20, 20, 3) in [tuple(x) for x in out]
+    assert ("a", 30, 50, 20, 4) in [tuple(x) for x in out]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -94,6 +94,7 @@ def test_deliveries_add_up_to_all_at_once(spark, seed):
         mark = max(x[2] for x in rows[: i + 100]) - 250
         closed, state = advance(state, df, ["k"], "s", "d", 15, before, mark, shard_ms=64)
         out, before = out + closed.collect(), mark
+        assert all(x.session_end + 15 <= mark for x in closed.collect())
         state = spark.createDataFrame(state.collect(), state.schema)
     out += state.collect()
     assert sorted(map(tuple, out)) == expected(rows, 15)
