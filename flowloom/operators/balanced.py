@@ -45,16 +45,16 @@ def key_totals(rows: DataFrame, keys: Sequence[str], measures: Sequence[str]) ->
     return rows.groupBy(*keys).agg(*aggs)
 
 
-def hot_keys(totals: DataFrame, keys: Sequence[str], hot_share: float) -> DataFrame:
-    """The keys without nulls whose n is at least hot_share of all rows: no more than 1 / hot_share rows.
+def hot_keys(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], hot_share: float) -> DataFrame:
+    """``key_totals`` of the keys without nulls whose n is at least hot_share of all rows: no more than 1 / hot_share keys.
 
-    The share is of the sum over ``totals``, keys with nulls included.
+    The share is of all rows, those with null keys included.
     """
     if not LEAST_SHARE <= hot_share <= 1:
         raise ValueError(f"the share of a hot key must be from {LEAST_SHARE} to 1")
-    whole = totals.agg(F.sum("n")).scalar()
+    whole = rows.agg(F.count(F.lit(1))).scalar()
     # a quotient, as it is rounded correctly: exactly the share is enough
-    return totals.dropna(subset=list(keys)).where(F.col("n") / whole >= F.lit(hot_share))
+    return key_totals(rows, keys, measures).dropna(subset=list(keys)).where(F.col("n") / whole >= F.lit(hot_share))
 
 
 def select_ranks(rows: DataFrame, hot: DataFrame, keys: Sequence[str], measures: Sequence[str], quantile: float, bins: int = MANY_KEYS) -> DataFrame:
@@ -115,7 +115,7 @@ def hot_key_results(rows: DataFrame, keys: Sequence[str], measures: Sequence[str
     Sums past bigint come out null.
     """
     slim = rows.select(*keys, *measures)
-    hot = stage(hot_keys(key_totals(slim, keys, measures), keys, hot_share), "hot")
+    hot = stage(hot_keys(slim, keys, measures, hot_share), "hot")
     own = stage(slim.join(F.broadcast(hot.select(*keys)), list(keys), "left_semi"), "hotrows")
     ranks = select_ranks(own, hot, keys, measures, quantile, bins or bins_for(hot_share))
     return hot.join(F.broadcast(ranks), list(keys), "left").select(*keys, "n", *[f"sum_{m}" for m in measures], *[f"q_{m}" for m in measures])
@@ -144,8 +144,7 @@ def _ranked(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], quant
 def key_results(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], hot_share: float = 1e-4, quantile: float = 0.5, bins: int | None = None) -> DataFrame:
     """keys, n, sum_x and q_x of every key without nulls, hot or not; see the module."""
     slim = rows.select(*keys, *measures)
-    totals = key_totals(slim, keys, measures)
-    hot = stage(hot_keys(totals, keys, hot_share), "hot")
+    hot = stage(hot_keys(slim, keys, measures, hot_share), "hot")
     names = F.broadcast(hot.select(*keys))
     own = stage(slim.join(names, list(keys), "left_semi"), "hotrows")
     ranks = select_ranks(own, hot, keys, measures, quantile, bins or bins_for(hot_share))
