@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators.sessions import saturating_end
 from flowloom.sources.tables import floor_div
+from flowloom.staging import stage
 
 DEFAULT_SHARD_MS = 2 * 3_600_000
 
@@ -92,6 +93,7 @@ def periods(intervals: DataFrame, keys: Sequence[str], start: str, duration: str
     starts, k = _starts(intervals, keys, start, duration, shard_ms, whole=True)
     within = Window.partitionBy(*k, "shard").orderBy("s")
     seen = starts.select(*k, "shard", "s", "whole", F.lead("reach").over(within).alias("e"), F.first("reach").over(within).alias("before"))
+    seen = stage(seen, "starts")  # read for the periods that are complete and for the others: merged once
     last = F.col("e").isNull()
     open_ones = seen.where(last).withColumn("e", F.coalesce(F.lead("before").over(Window.partitionBy(*k).orderBy("shard")), F.col("whole")))
     return seen.where(~last).select(*k, "s", "e").unionByName(open_ones.select(*k, "s", "e")).select(
