@@ -17,8 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 P = 12
-#: Terms of the series below: enough for 2^16 registers and double precision.
-TERMS = 23
 
 
 def standard_error(p: int = P) -> float:
@@ -47,33 +45,37 @@ def merge(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
     return sketches.groupBy(*groups, "register").agg(F.max("rank").alias("rank"))
 
 
-def _sigma(x: Column) -> Column:
-    """x + sum over k >= 1 of x^(2^k) 2^(k-1), for 0 <= x < 1: what empty registers say.
+def _sigma(x: float) -> float:
+    """x + sum over k >= 1 of x^(2^k) 2^(k-1): what a share x of empty registers says; no end for x = 1, which no group has."""
+    total, power, weight = x, x * x, 1.0
+    while x < 1 and total + power * weight > total:
+        total, power, weight = total + power * weight, power * power, 2 * weight
+    return total
 
-    With x at most 1 - 2^-p the terms die out once 2^k is well above 2^p.
-    """
-    return x + sum((F.pow(x, F.lit(float(2**k))) * float(2 ** (k - 1)) for k in range(2, TERMS)), F.pow(x, F.lit(2.0)))
+
+def _tau(x: float) -> float:
+    """(1 - x - sum over k >= 1 of (1 - x^(2^-k))^2 2^-k) / 3: what a share 1 - x of registers at the largest rank says."""
+    return (1 - x - sum((1 - x ** 2.0**-k) ** 2 * 2.0**-k for k in range(1, 60))) / 3
 
 
-def _tau(x: Column) -> Column:
-    """(1 - x - sum over k >= 1 of (1 - x^(2^-k))^2 2^-k) / 3: what registers at the largest rank say."""
-    return (F.lit(1.0) - x - sum((F.pow(F.lit(1.0) - F.pow(x, F.lit(2.0**-k)), F.lit(2.0)) * 2.0**-k for k in range(1, TERMS)), F.lit(0.0))) / 3.0
+def _table(values: list[float], at: Column) -> Column:
+    """values[at], from a constant array; made of one literal, as thousands of them would burden the planner."""
+    return F.get(F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>"), at.cast("int"))
 
 
 def estimate(sketches: DataFrame, groups: Sequence[str], p: int = P) -> DataFrame:
     """groups, distinct_count (double) and standard_error (double, relative).
 
     Ertl's improved estimator over how often each rank occurs: one formula from a single value to
-    billions, unbiased throughout, without tables or a switch between ranges.
+    billions, unbiased throughout, without a switch between ranges.
     """
     m, last = 2**p, 64 - p + 1
     top = (F.col("rank") == last).cast("int")
     found = sketches.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("_used"), F.sum(F.when(F.col("rank") < last, F.pow(F.lit(2.0), -F.col("rank"))).otherwise(0.0)).alias("_sum"), F.sum(top).alias("_top")
     )
-    empty, full = (F.lit(m) - F.col("_used")) / float(m), F.col("_top") / float(m)
-    # all registers full: the sum over empty ones is 0
-    z = F.when(F.col("_used") < m, m * _sigma(empty)).otherwise(0.0) + F.col("_sum")
-    z = z + F.when(F.col("_top") > 0, m * _tau(F.lit(1.0) - full) * 2.0 ** -(last - 1)).otherwise(0.0)
+    # by the number of registers: the terms of empty ones, and of those at the last rank
+    z = _table([m * _sigma(i / m) for i in range(m + 1)], F.lit(m) - F.col("_used")) + F.col("_sum")
+    z = z + F.when(F.col("_top") > 0, _table([m * _tau(1 - i / m) * 2.0 ** -(last - 1) for i in range(m + 1)], F.col("_top"))).otherwise(0.0)
     value = F.lit(m * m / (2 * math.log(2))) / z
     return found.select(*groups, value.alias("distinct_count"), F.lit(standard_error(p)).alias("standard_error"))
