@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.functions import convert
+from flowloom.functions import convert, ip
 from flowloom.plans import render, summary
 from flowloom.plans.query import FlowQuery
 from flowloom.sources.tables import flow_records, table
@@ -57,8 +57,14 @@ def conv_mac(spark: SparkSession, sf: str) -> DataFrame:
     return flow_records(spark, sf).select("flow_id", "file_id", convert.mac_text(F.col("srcip_lo").bitwiseAND(F.lit(2**48 - 1))).alias("mac"))
 
 
+def conv_full_address(spark: SparkSession, sf: str) -> DataFrame:
+    """Every destination as text, IPv6 ones with their longest run of zeros shortened."""
+    found = FlowQuery().aggregate("dstip").select("flows").run(flow_records(spark, sf))
+    return found.select("dstip_hi", "dstip_lo", ip.text(F.col("dstip_hi"), F.col("dstip_lo")).alias("address"), "flows")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (csv_top, aligned_top, csv_records, csv_basic_records, csv_summaries, aligned_summaries, conv_mac)}
+    return {f.__name__: f for f in (csv_top, aligned_top, csv_records, csv_basic_records, csv_summaries, aligned_summaries, conv_mac, conv_full_address)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -74,6 +80,11 @@ def oracle_sql() -> dict[str, str]:
     bits = " || ".join(f"case when flags & {1 << (7 - i)} <> 0 then '{x}' else '.' end" for i, x in enumerate(convert.FLAG_LETTERS))
     titles = [("total:", ""), ("TCP:", "_tcp"), ("UDP:", "_udp"), ("ICMP:", "_icmp"), ("other:", "_other")]
     tab = "chr(9)"
+    wide = lambda h: f"(cast(dstip_{h} as hugeint) + 18446744073709551616) % 18446744073709551616"
+    groups = " || ':' || ".join(f"format('{{:x}}', cast({wide(h)} // {2**by} % 65536 as bigint))" for h in ("hi", "lo") for by in (48, 32, 16, 0))
+    runs = [f"(^|:)0(:0){{{n - 1}}}(:|$)" for n in range(8, 1, -1)]  # the longest first, of equal ones the leftmost
+    v6 = "case " + " ".join(f"when regexp_matches(g, '{r}') then regexp_replace(g, '{r}', '::')" for r in runs) + " else g end"
+    dotted = " || '.' || ".join(f"((dstip_lo >> {by}) & 255)" for by in (24, 16, 8, 0))
     return {
         "csv_top": _F
         + f"select cast(0 as bigint) as no, 'proto,bytes,flows,packets,bpp' as line union all select row_number() over (order by bytes desc, proto, flows, packets), "
@@ -109,5 +120,8 @@ def oracle_sql() -> dict[str, str]:
             + " union all ".join(f"select {2 + 6 * i + j}, {tab} || {tab} || rpad('{t}', 6, ' ') || ' ' || {_volume(m + c, 1000, convert.METRIC)} from m" for j, (t, c) in enumerate(titles))
             for i, m in enumerate(summary.MEASURES)
         ),
+        "conv_full_address": _F
+        + f"select dstip_hi, dstip_lo, case when dstip_hi = 0 and dstip_lo between 2 and 4294967295 then {dotted} when dstip_hi = 0 and dstip_lo >> 32 = 65535 then '::ffff:' || {dotted} else {v6} end as address, flows "
+        f"from (select dstip_hi, dstip_lo, {groups} as g, cast(sum(flows) as bigint) as flows from f group by all)",
         "conv_mac": "select flow_id, file_id, " + " || ':' || ".join(f"format('{{:02x}}', (srcip_lo >> {by}) & 255)" for by in (40, 32, 24, 16, 8, 0)) + " as mac from flow_records",
     }
