@@ -74,19 +74,22 @@ def select_ranks(rows: DataFrame, hot: DataFrame, keys: Sequence[str], measures:
     ).alias("x")
     state = hot.select(*keys, slots).select(*keys, "x.*").where("n > 0")
     state = stage(state.select(*keys, "m", "lo", "hi", F.greatest(F.ceil(F.lit(quantile) * F.col("n")), F.lit(1)).cast("long").alias("rank")), "ranks")
-    slim = rows.select(*[F.col(x).alias(f"_{x}") for x in keys], *[F.col(m).cast("long").alias(f"_v{i}") for i, m in enumerate(measures)])
-    values = F.array(*[F.struct(F.lit(i).alias("_m"), F.col(f"_v{i}").alias("v")) for i in range(len(measures))])
-    long_rows = slim.select(*[f"_{x}" for x in keys], F.explode(values).alias("x")).select(*[f"_{x}" for x in keys], "x.*").where("v is not null")
+    slim = rows.select(*keys, *[F.col(m).cast("long").alias(f"_v{i}") for i, m in enumerate(measures)])
+    values = F.array(*[F.col(f"_v{i}") for i in range(len(measures))])
     # decimal arithmetic: a range may be wider than bigint
     width = "greatest(ceil((cast(hi as decimal(38,0)) - cast(lo as decimal(38,0)) + 1) / {b}), 1)"
     for _ in range(math.ceil(64 / math.log2(bins)) + 1):
         if not state.where("hi > lo").head(1):
             break
-        ranged = state.withColumn("width", F.expr(width.format(b=bins)).cast("decimal(20,0)"))
-        match = [F.col(x) == F.col(f"_{x}") for x in keys] + [F.col("m") == F.col("_m"), F.col("v").between(F.col("lo"), F.col("hi"))]
-        # hot has at most 1 / hot_share keys, times the measures: safe to send everywhere
+        ranged = state.where("hi > lo").withColumn("width", F.expr(width.format(b=bins)).cast("decimal(20,0)"))
+        # a row per hot key with its open ranges, at most one per measure: there are at most 1 / hot_share, safe to send everywhere
+        ranges = ranged.groupBy(*keys).agg(F.collect_list(F.struct("m", "lo", "hi", "rank", "width")).alias("ranges"))
+        held = F.filter("ranges", lambda r: F.get("_values", r["m"]).between(r["lo"], r["hi"]))
         counted = (
-            long_rows.join(F.broadcast(ranged.where("hi > lo")), match, "inner")
+            slim.withColumn("_values", values)
+            .join(F.broadcast(ranges), list(keys))
+            .select(*keys, "_values", F.explode(held).alias("r"))
+            .select(*keys, "r.*", F.get("_values", "r.m").alias("v"))
             .withColumn("bin", F.expr("cast((cast(v as decimal(20,0)) - lo) div width as int)"))
             .groupBy(*keys, "m", "lo", "hi", "rank", "width", "bin")
             .count()
