@@ -68,13 +68,16 @@ def _with_source(rows: DataFrame, per_source: DataFrame, few: bool) -> DataFrame
     return salted.join(per_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["source", "_salt"]).drop("_salt")
 
 
-def _cuts(drawn: DataFrame, planned: DataFrame, few: bool) -> DataFrame:
-    """source, lo, hi, before: documents with a place below lo are taken, ``before`` is their tokens, those in [lo, hi] have to be ordered."""
+def _cuts(drawn: DataFrame, planned: DataFrame, few: bool, refine: bool = True) -> DataFrame:
+    """source, lo, hi, before: documents with a place below lo are taken, ``before`` is their tokens, those in [lo, hi] have to be ordered.
+
+    Without ``refine``, where no source has more than ORDERED documents, all of them.
+    """
     state = planned.where("remainder > 0").select(
         F.col("key").alias("source"), "remainder", F.lit(0).cast("long").alias("lo"), F.lit(KEYS).cast("long").alias("hi"), F.lit(0).cast("long").alias("before"), F.col("documents").alias("n")
     )
     wide = (F.col("n") > ORDERED) & (F.col("hi") > F.col("lo"))
-    while state.where(wide).head(1):  # each round divides a range by BINS: at most five
+    while refine and state.where(wide).head(1):  # each round divides a range by BINS: at most five
         ranged = state.where(wide).withColumn("width", F.call_function("div", F.col("hi") - F.col("lo"), F.lit(BINS).cast("long")) + 1)
         counted = (
             _with_source(drawn, ranged, few)
@@ -104,12 +107,13 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFr
     max_repeats times, and the target is not reached.  Empty tables give an empty selection and a report of zeros.
     """
     planned = stage(plan(documents, targets), "mixplan")
-    few = planned.count() <= SENT_SOURCES
+    sources, largest = planned.agg(F.count(F.lit(1)), F.max(F.when(F.col("remainder") > 0, F.col("documents")))).first()
+    few, refine = sources <= SENT_SOURCES, (largest or 0) > ORDERED
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     weight = F.greatest(F.when(F.col("quality") > 0, F.col("quality")).otherwise(1e-9), F.lit(1e-9))
     place = F.floor((F.log("draw") - LOG_LOW) / LOG_SPAN * float(KEYS))
     drawn = documents.select("doc_id", "source", "n_tokens", (-F.log(u) / weight).alias("draw")).withColumn("place", F.least(F.greatest(place, F.lit(0)), F.lit(KEYS)).cast("long"))
-    cuts = _cuts(drawn, planned, few)
+    cuts = _cuts(drawn, planned, few, refine)
     placed = _with_source(drawn, planned.select(F.col("key").alias("source"), "epochs", "remainder").join(cuts, "source", "left"), few)
     edge = Window.partitionBy("source").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     at_edge = F.coalesce(F.col("place").between(F.col("lo"), F.col("hi")), F.lit(False))
@@ -118,8 +122,8 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFr
     columns = ["doc_id", "source", "n_tokens", (F.col("epochs") + F.col("chosen").cast("bigint")).alias("copies")]
     selection = easy.select(*columns).unionByName(cut.select(*columns)).where("copies > 0")
     used = selection.groupBy(F.col("source").alias("key")).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"), F.sum("copies").alias("copies"))
-    report = stage(planned.join(used, "key", "left").na.fill(0, ["used_tokens", "copies"]), "mixreport")
-    share = F.try_divide(F.col("used_tokens").cast("double"), report.agg(F.sum("used_tokens")).scalar())
+    report = planned.join(used, "key", "left").na.fill(0, ["used_tokens", "copies"])
+    share = F.try_divide(F.col("used_tokens").cast("double"), F.sum("used_tokens").over(Window.partitionBy()))  # a row per target
     short = (F.col("copies") == F.col("documents") * F.col("max_repeats")) & (F.col("used_tokens") < F.col("target_tokens"))
     return selection, report.select(
         "source", "weight", "max_repeats", "documents", "tokens", "target_tokens", "epochs", "used_tokens", share.alias("actual_share"), short.alias("short")
