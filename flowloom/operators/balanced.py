@@ -76,23 +76,24 @@ def select_ranks(rows: DataFrame, hot: DataFrame, keys: Sequence[str], measures:
     state = stage(state.select(*keys, "m", "lo", "hi", F.greatest(F.ceil(F.lit(quantile) * F.col("n")), F.lit(1)).cast("long").alias("rank")), "ranks")
     slim = rows.select(*keys, *[F.col(m).cast("long").alias(f"_v{i}") for i, m in enumerate(measures)])
     values = F.array(*[F.col(f"_v{i}") for i in range(len(measures))])
-    # decimal arithmetic: a range may be wider than bigint
-    width = "greatest(ceil((cast(hi as decimal(38,0)) - cast(lo as decimal(38,0)) + 1) / {b}), 1)"
+    # in decimals where a range is wider than bigint; a width is not, with two bins or more
+    width = "cast(greatest(ceil((cast(hi as decimal(38,0)) - cast(lo as decimal(38,0)) + 1) / {b}), 1) as bigint)"
+    place = "cast(coalesce(try_subtract(v, lo) div width, cast((cast(v as decimal(20,0)) - lo) div width as bigint)) as int)"
     for _ in range(math.ceil(64 / math.log2(bins)) + 1):
         if not state.where("hi > lo").head(1):
             break
-        ranged = state.where("hi > lo").withColumn("width", F.expr(width.format(b=bins)).cast("decimal(20,0)"))
+        ranged = state.where("hi > lo").withColumn("width", F.expr(width.format(b=bins)))
         # a row per hot key with its open ranges, at most one per measure: there are at most 1 / hot_share, safe to send everywhere
-        ranges = ranged.groupBy(*keys).agg(F.collect_list(F.struct("m", "lo", "hi", "rank", "width")).alias("ranges"))
+        ranges = ranged.groupBy(*keys).agg(F.collect_list(F.struct("m", "lo", "hi", "width")).alias("ranges"))
         held = F.filter("ranges", lambda r: F.get("_values", r["m"]).between(r["lo"], r["hi"]))
         counted = (
             slim.withColumn("_values", values)
             .join(F.broadcast(ranges), list(keys))
             .select(*keys, "_values", F.explode(held).alias("r"))
             .select(*keys, "r.*", F.get("_values", "r.m").alias("v"))
-            .withColumn("bin", F.expr("cast((cast(v as decimal(20,0)) - lo) div width as int)"))
-            .groupBy(*keys, "m", "lo", "hi", "rank", "width", "bin")
+            .groupBy(*keys, "m", F.expr(place).alias("bin"))
             .count()
+            .join(F.broadcast(ranged), [*keys, "m"])
         )
         upto = Window.partitionBy(*keys, "m").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         found = (
@@ -101,8 +102,8 @@ def select_ranks(rows: DataFrame, hot: DataFrame, keys: Sequence[str], measures:
             .select(
                 *keys,
                 "m",
-                F.expr("cast(lo + bin * width as bigint)").alias("lo"),
-                F.expr("cast(least(lo + (bin + 1) * width - 1, cast(hi as decimal(38,0))) as bigint)").alias("hi"),
+                F.expr("cast(lo + bin * cast(width as decimal(20,0)) as bigint)").alias("lo"),
+                F.expr("cast(least(lo + (bin + 1) * cast(width as decimal(20,0)) - 1, cast(hi as decimal(38,0))) as bigint)").alias("hi"),
                 (F.col("rank") - F.col("upto") + F.col("count")).alias("rank"),
             )
         )
